@@ -94,6 +94,18 @@ def _fs(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
+def committed(uri: str) -> list:
+    """What the folder's manifests list: path and size of each archive."""
+    fs, top = _fs(uri)
+    found = fs.get_file_info(pafs.FileSelector(top, allow_not_found=True))
+    listed = set()
+    for x in found:
+        if x.base_name.startswith(MANIFEST):
+            with fs.open_input_stream(x.path) as f:
+                listed |= set(f.read().decode().split())
+    return sorted((x for x in found if x.base_name in listed), key=lambda x: x.path)
+
+
 @dataclass
 class Done(WriterCommitMessage):
     files: list
@@ -176,14 +188,7 @@ class ArchiveReader(DataSourceReader):
         self.uri, self.span, self.retries = options["path"], int(options.get("range_mb", 16)) << 20, int(options.get("retries", 3))
 
     def partitions(self):
-        fs, top = _fs(self.uri)
-        found = fs.get_file_info(pafs.FileSelector(top, allow_not_found=True))
-        listed = set()
-        for x in found:
-            if x.base_name.startswith(MANIFEST):
-                with fs.open_input_stream(x.path) as f:
-                    listed |= set(f.read().decode().split())
-        return [Span(x.path, a, min(a + self.span, x.size)) for x in found if x.base_name in listed for a in range(0, x.size, self.span)] or [Span("", 0, 0)]
+        return [Span(x.path, a, min(a + self.span, x.size)) for x in committed(self.uri) for a in range(0, x.size, self.span)] or [Span("", 0, 0)]
 
     def member(self, fs, path: str, info: zipfile.ZipInfo) -> bytes:
         """A member's bytes, checked against its CRC; retried by itself from its offset."""

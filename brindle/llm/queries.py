@@ -6,20 +6,27 @@ DuckDB SQL for the same rows, where SQL can say it.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, mix, quality, topk, toxicity
+from ..deploy import ship
+from . import bpe, line_dedup, media, mix, ngram_join, quality, suffix_dedup, topk, toxicity, warc
 from .shared import scratch_path, split_mod
 
-#: Words of a text, as the contracts define them.
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark, sf_dir):
+        ship(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +124,43 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank::integer as rank, vec_id, score from r where rank <= 20"""
 
 
+@query
+def op5_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+#: {components}: rows (doc_id, n_shingles, component_id) of {docs}.
+JOIN_SQL = """
+toks as (select doc_id, row_number() over () as row_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from {docs}),
+shingles as (select distinct row_id, md5(unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end)) as g from toks),
+counted as (select t.row_id, any_value(t.doc_id) as doc_id, count(s.g) as n from toks t left join shingles s using (row_id) group by t.row_id),
+grams as (select g, list(row_id) as own from shingles group by g having count(*) > 1),
+pairs as (select a.row_id as a, b as b, count(*) as inter from shingles a join grams using (g), unnest(own) as u(b) where a.row_id < b group by 1, 2),
+linked as (select a, b from pairs join counted x on x.row_id = a join counted y on y.row_id = b where 100 * inter >= 75 * (x.n + y.n - inter)),
+edges as (select a, b from linked union all select b, a from linked),
+walk as (select row_id as node, row_id as seen from counted where n > 0 union select w.node, e.b from walk w join edges e on w.seen = e.a),
+{components} as (select c.doc_id, c.n as n_shingles, case when c.n = 0 then c.doc_id else (select min(d.doc_id) from walk w join counted d on d.row_id = w.seen where w.node = c.row_id) end as component_id, c.row_id from counted c)
+"""
+ORACLE_SQL["op5_ngram_join"] = "with recursive " + JOIN_SQL.format(docs="documents", components="parts") + "select doc_id, n_shingles, component_id from parts"
+
+
+@query
+def op6_warc(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    path = scratch_path(spark, "warc")
+    warc.write(pages.select("page_id", "url", F.col("html").cast("binary").alias("payload")), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op6_warc"] = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest from p),
+f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first from d)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+    case when page_id = first then null else first end as refers_to from f"""
+
+
 @query
 def op7_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
@@ -149,6 +193,13 @@ cleaned as (select row_id, count(*)::integer as n_lines, sum(gone::integer)::int
 ORACLE_SQL["op8_line_dedup"] = "with " + LINE_SQL.format(docs="documents", deduped="deduped") + "select doc_id, n_lines, n_removed, sha256(text) as kept_sha256 from deduped"
 
 
+@query
+def op9_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), hexed(F.col("kept")).alias("kept_sha256"))
+
+
 @query
 def op10_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
