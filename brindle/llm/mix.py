@@ -83,7 +83,7 @@ def _cut(rows: DataFrame, bin_of: Column, have: Column) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, seed: int = 0, text: str = "text") -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs`` (doc_id, source and the text).
+    """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs`` (doc_id, source and the text).
 
     ``taken`` is the words that the mix takes of the row, copies counted: a
     multiple of its size, MOST times at most.  Null text: size 0, taken 0.  Null
@@ -137,5 +137,5 @@ def mix(docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, seed: int = 0, t
     close = table(close, "mix-closing").withColumnRenamed("source", "_s")
     marked = marked.join(close, marked["source"].eqNullSafe(close["_s"]), "left").drop("_s")
     closing = F.coalesce(F.struct("rank", "doc_id", "size") == F.struct("close.rank", "close.doc_id", "close.size"), F.lit(False))
-    copies = F.col("whole") + (F.col("in") | closing).cast("long")
-    return marked.select("doc_id", "size", "source_size", "target", (F.least(copies, F.lit(MOST)) * F.col("size")).cast("long").alias("taken"))
+    copies = F.least(F.col("whole") + (F.col("in") | closing).cast("long"), F.lit(MOST).cast("long"))
+    return marked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -154,7 +154,9 @@ def _slices(batch, name):
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, cls) for documents, and (common, n) for shingles that came up often in a block of one task."""
+    """Rows (doc_id, k, n, cls) for documents, and (common, n) for shingles that came up often in a block of one task."""
+
+    names = ["doc_id", "k", "n", "cls", "common"]
 
     def run(batches):
         block, held = [], 0
@@ -163,12 +165,12 @@ def survey(docs: DataFrame) -> DataFrame:
             found, n = np.unique(np.concatenate(block), return_counts=True)
             found, n = found[n >= COMMON], n[n >= COMMON]
             none = pa.nulls(len(found), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), none, pa.array(found.view(np.int64))], ["doc_id", "n", "cls", "common"])
+            return pa.RecordBatch.from_arrays([none, none, pa.array(n, pa.int64()), none, pa.array(found.view(np.int64))], names)
 
         for batch in batches:
             for a, b, texts in _slices(batch, "text"):
                 own = sets(texts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b].cast(pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array([class_of(s) for s in own], pa.int64()), pa.nulls(len(own), pa.int64())], ["doc_id", "n", "cls", "common"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("k")[a:b], pa.array([len(s) for s in own], pa.int64()), pa.array([class_of(s) for s in own], pa.int64()), pa.nulls(len(own), pa.int64())], names)
                 block += own
                 held += sum(map(len, own))
                 if held > BLOCK:
@@ -177,7 +179,7 @@ def survey(docs: DataFrame) -> DataFrame:
         if block:
             yield often()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, common long")
+    return docs.select("doc_id", "k", "text").mapInArrow(run, "doc_id long, k long, n long, cls long, common long")
 
 
 def common_shingles(surveyed: DataFrame) -> np.ndarray:
@@ -368,19 +370,16 @@ def crossing(group: DataFrame, comp: DataFrame, sizes: DataFrame) -> DataFrame:
     return tiles.groupBy("task").applyInPandas(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
+def components_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, n, root, component_id) for every row of ``docs`` (doc_id, text).
 
-    Words are runs of bytes other than space and 9 to 13; A-Z count as a-z.  A
-    text with one to four words has those as its one shingle; a null, empty or
-    blank text has none and is linked with nothing, itself excepted:
-    component_id is then its doc_id.  Otherwise it is the smallest doc_id of the
-    component, nulls left out.  Rows that repeat are rows of one class.
+    k = xxhash64(text) tells rows of one doc_id apart; n is the set's size; root
+    names the component (null without a set); component_id is as ``near_duplicates`` says.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text")
     surveyed = table(survey(docs), "join-survey")
-    own = surveyed.where("common is null").select("doc_id", "n", "cls")
+    own = surveyed.where("common is null").select("doc_id", "k", "n", "cls")
     common = spark.sparkContext.broadcast(common_shingles(surveyed))
     total = own.agg(F.sum("n")).first()[0] or 0
     group = table(groups(docs, common, max(1, math.ceil(total * (100 - PERCENT) / 100 / DEAL))), "join-groups")
@@ -415,6 +414,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     rooted = classes.select("cls", F.col("doc_id").alias("least")).join(comp, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = table(rooted.join(roots, "root").select(F.col("cls").alias("_cls"), "component_id"), "join-named")
+    named = table(rooted.join(roots, "root").select(F.col("cls").alias("_cls"), "root", "component_id"), "join-named")
     out = own.join(named, (F.col("cls") == F.col("_cls")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "k", "n", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
+
+    Words are runs of bytes other than space and 9 to 13; A-Z count as a-z.  A
+    text with one to four words has those as its one shingle; a null, empty or
+    blank text has none and is linked with nothing, itself excepted:
+    component_id is then its doc_id.  Otherwise it is the smallest doc_id of the
+    component, nulls left out.  Rows that repeat are rows of one class; an empty
+    table gives no rows; other columns are not looked at.
+    """
+    return components_of(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any more) without all but one of each component.
+
+    The row with the smallest doc_id stays, null last, then the smallest hash of
+    its text; rows that agree in both and in everything else are one.  Rows
+    without a set all stay.
+    """
+    found = table(components_of(docs).where("n > 0"), "join-found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k")).alias("first")
+    kept = found.groupBy("root").agg(first)
+    rows = found.groupBy("doc_id", "k", "root").agg(F.count(F.lit(1)).alias("rows")).join(kept, "root")
+    stays = F.struct("doc_id", "k").eqNullSafe(F.struct("first.doc_id", "first.k"))
+    marks = table(rows.select("doc_id", "k", "rows", stays.alias("stays")), "join-marks")
+    k = F.xxhash64("text")
+
+    def without(side: DataFrame, marked: DataFrame, how: str) -> DataFrame:
+        m = sized(table(marked.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k")), "join-list"), 32)
+        return side.join(m, side["doc_id"].cast("long").eqNullSafe(m["_d"]) & (k == m["_k"]), how)
+
+    out = without(docs, marks.where("not stays"), "left_anti")
+    again = marks.where("stays and rows > 1")
+    if again.head(1):
+        out = without(out, again, "left_anti").unionByName(without(out, again, "left_semi").withColumn("_k", k).dropDuplicates(["doc_id", "_k"]).drop("_k"))
+    return out

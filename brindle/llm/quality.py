@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import pieces, split_mod
 
@@ -69,22 +70,28 @@ def describe(text: str | None) -> list[float]:
     ]
 
 
-def feature_table(docs: DataFrame, *carry: str, text: str = "text") -> DataFrame:
-    """The columns ``carry`` of ``docs`` and ``features`` array<double>, in the order of FEATURES."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("features", T.ArrayType(T.DoubleType()))])
+def _described(docs: DataFrame, carry: tuple[str, ...], text: str, field: T.StructField, make) -> DataFrame:
+    """``carry`` of ``docs`` and a column that ``make`` gets from the rows of features of their texts."""
+    schema = T.StructType([*(docs.schema[c] for c in carry), field])
 
     def run(batches):
         for batch in batches:
             texts = batch.column(text)
             for a, b in pieces([len(x.as_buffer()) if x.is_valid else 0 for x in texts], SLICE):
-                flat = np.array([describe(x) for x in texts[a:b].to_pylist()], float).ravel()
-                ends = np.arange(0, len(flat) + 1, len(FEATURES), dtype=np.int32)
+                x = np.array([describe(x) for x in texts[a:b].to_pylist()], float).reshape(-1, len(FEATURES))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*carry, "features"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), make(x)], schema.names)
+
+    return docs.select(*dict.fromkeys([*carry, text])).mapInArrow(run, schema)
+
+
+def feature_table(docs: DataFrame, *carry: str, text: str = "text") -> DataFrame:
+    """The columns ``carry`` of ``docs`` and ``features`` array<double>, in the order of FEATURES."""
+
+    def lists(x):
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)), pa.array(x.ravel()))
 
-    return docs.select(*carry, text).mapInArrow(run, schema)
+    return _described(docs, carry, text, T.StructField("features", T.ArrayType(T.DoubleType())), lists)
 
 
 @dataclass
@@ -211,13 +218,4 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
 def score(docs: DataFrame, model: Model, *carry: str, text: str = "text") -> DataFrame:
     """The columns ``carry`` of ``docs`` and ``score`` double, for every row; null and empty texts are scored by their features, all 0."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("score", T.DoubleType())])
-
-    def run(batches):
-        for batch in batches:
-            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(model.score(x))], [*carry, "score"])
-
-    return feature_table(docs, *carry, text=text).mapInArrow(run, schema)
+    return _described(docs, carry, text, T.StructField("score", T.DoubleType()), lambda x: pa.array(model.score(x)))

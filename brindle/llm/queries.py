@@ -81,7 +81,7 @@ def op2_media(spark, sf_dir):
 
 @query
 def op3_mix(spark, sf_dir):
-    return mix.mix(read(spark, sf_dir, "documents"))
+    return mix.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 #: Rows (doc_id, source, size, source_size, target, whole, copies, ...) of a mix of the relation put for {docs}.

@@ -216,4 +216,4 @@ def score(docs: DataFrame, model: Model, *carry: str, text: str = "text") -> Dat
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(own.score(texts))], [*carry, "score"])
 
-    return docs.select(*carry, text).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*carry, text])).mapInArrow(run, schema)

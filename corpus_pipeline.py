@@ -1,6 +1,74 @@
-STAGES = []
+"""A corpus pipeline over ``documents``: five stages, each by an operator of ``brindle.llm``.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before
+it kept; ``docs`` is that stage's output, read from Parquet.  All but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.deploy import ship
+from brindle.llm import line_dedup, mix, ngram_join, quality
+from brindle.llm.queries import read, token_digests
+from brindle.llm.shared import sized, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores under 0.5 go; a null text is scored as an empty one."""
+    ship(spark)
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model, *docs.columns).where("score >= 0.5").drop("score")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cross-site boilerplate lines go; n_chars follows the text; documents that consisted of such lines alone go."""
+    ship(spark)
+    out = line_dedup.dedup(docs)
+    out = out.where((F.col("n_removed") == 0) | (line_dedup.trimmed(F.regexp_replace("text", r"\n", " ")) != ""))
+    changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: that with the smallest doc_id."""
+    ship(spark)
+    return ngram_join.keep_one(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: not at all, or a row for each copy."""
+    ship(spark)
+    taken = mix.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
+    taken = sized(table(taken.distinct(), "mix-copies"), 64)
+    same = docs["doc_id"].eqNullSafe(taken["_doc"]) & docs["source"].eqNullSafe(taken["_source"]) & (mix.size_of(docs["text"]) == taken["_size"])
+    rows = docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256) of every row."""
+    ship(spark)
+    return token_digests(docs, "doc_id", "lang", "source")
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("lines", line_stage),
+    ("near_duplicates", near_stage),
+    ("mix", mix_stage),
+    ("tokens", token_stage),
+]
+
+#: The classifier's tables can't be said in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
