@@ -10,17 +10,21 @@ common only moves work about; any set of shingles gives right results.
    n - ceil(t n) + 1 elements of each.  Those prefixes are dealt out by hash
    range, and shingles that only one class has there fall away.  What remains
    are groups of classes, equal groups taken once.
-3. A group's pairs are verified by prefix trees: the sets of up to ``LEAVES``
+3. A group's pairs are candidates if their sizes allow a link, and their parity
+   bitmaps too: the bits in which two sets' parities differ are at most as many
+   as the elements in which the sets do, so a pair beyond the bound is none.
+   The others are verified by prefix trees: the sets of up to ``LEAVES``
    classes are stored in a trie, an anchor's set walks down it, sharing the
    overlap of common beginnings, and a subtree is left as soon as the overlap
    so far and the elements that remain can't reach the bound of any set in it.
-   First each group's smallest class is the anchor of the others; the links
-   found give components.  Then all pairs of a group in different components
-   follow, in tiles, but for those decided already or of too different sizes.
+   First the classes of a group that come first by each of ``ANCHORS`` hashes are
+   anchors of the others; the links found give components, and another round of
+   anchors follows between components.  Then all pairs of a group in different
+   components follow, in tiles, but for those decided already.
 4. Components over all links.
 
-Links inside a component that the first step found aren't looked for again:
-they change no component.
+Links inside a component that is found already aren't looked for: they change
+no component.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ SLICE = 2 << 20
 BLOCK, COMMON, MOST_COMMON = 1 << 22, 8, 1 << 20
 #: Prefix elements dealt to a task, about; sets in a trie; classes of a group in a tile.
 DEAL, LEAVES, TILE = 1 << 19, 128, 512
+#: Anchors of a group in a round, and rounds, before all pairs that are left.
+ANCHORS, ROUNDS = 4, 2
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -147,6 +153,28 @@ def ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return s
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Parities of how many elements fall on each bit; n to 2n bits, a power of two of at least 64."""
+    bits = 1 << min(16, max(6, len(s).bit_length()))
+    return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bitmaps: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bitmaps as they would be with ``size`` bytes."""
+    while bitmaps.shape[-1] > size:
+        half = bitmaps.shape[-1] // 2
+        bitmaps = bitmaps[..., :half] ^ bitmaps[..., half:]
+    return bitmaps
+
+
+def may_link(one: np.ndarray, others: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
+    """Which of the ``others`` (bitmaps of one length, and their sets' sizes) may be linked with a set of n elements."""
+    size = min(one.shape[-1], others.shape[-1])
+    differ = np.bitwise_count(folded(others, size) ^ folded(one, size)).sum(1)
+    both = n + sizes
+    return differ <= both - 2 * -(-PERCENT * both // (100 + PERCENT))
+
+
 def _slices(batch, name):
     texts = batch.column(name)
     for a, b in pieces([len(x.as_buffer()) if x.is_valid else 0 for x in texts], SLICE):
@@ -154,9 +182,9 @@ def _slices(batch, name):
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, k, n, cls) for documents, and (common, n) for shingles that came up often in a block of one task."""
+    """Rows (doc_id, k, n, cls, bits) for documents, and (common, n) for shingles that came up often in a block of one task."""
 
-    names = ["doc_id", "k", "n", "cls", "common"]
+    names = ["doc_id", "k", "n", "cls", "bits", "common"]
 
     def run(batches):
         block, held = [], 0
@@ -165,12 +193,12 @@ def survey(docs: DataFrame) -> DataFrame:
             found, n = np.unique(np.concatenate(block), return_counts=True)
             found, n = found[n >= COMMON], n[n >= COMMON]
             none = pa.nulls(len(found), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(n, pa.int64()), none, pa.array(found.view(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none, none, pa.array(n, pa.int64()), none, pa.nulls(len(found), pa.binary()), pa.array(found.view(np.int64))], names)
 
         for batch in batches:
             for a, b, texts in _slices(batch, "text"):
                 own = sets(texts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("k")[a:b], pa.array([len(s) for s in own], pa.int64()), pa.array([class_of(s) for s in own], pa.int64()), pa.nulls(len(own), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("k")[a:b], pa.array([len(s) for s in own], pa.int64()), pa.array([class_of(s) for s in own], pa.int64()), pa.array([parities(s) for s in own], pa.binary()), pa.nulls(len(own), pa.int64())], names)
                 block += own
                 held += sum(map(len, own))
                 if held > BLOCK:
@@ -179,7 +207,7 @@ def survey(docs: DataFrame) -> DataFrame:
         if block:
             yield often()
 
-    return docs.select("doc_id", "k", "text").mapInArrow(run, "doc_id long, k long, n long, cls long, common long")
+    return docs.select("doc_id", "k", "text").mapInArrow(run, "doc_id long, k long, n long, cls long, bits binary, common long")
 
 
 def common_shingles(surveyed: DataFrame) -> np.ndarray:
@@ -337,37 +365,77 @@ def verified(pairs: DataFrame, members: DataFrame, n_pairs: int, set_bytes: int)
     return rows.groupBy("task").applyInPandas(run, "a long, b long")
 
 
-def crossing(group: DataFrame, comp: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes in a group but in different components whose sizes allow a link.
+def allowed(pairs: DataFrame, left: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps, in ``left`` (cls, n, bits), allow a link."""
+    for side in "ab":
+        pairs = pairs.join(left.select(F.col("cls").alias(side), F.col("n").alias("n" + side), F.col("bits").alias("bits" + side)), side)
+    pairs = pairs.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+
+    def run(frames):
+        for f in frames:
+            keep = [bool(may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)[None], m, np.array([n]))[0]) for x, y, m, n in zip(f["bitsa"], f["bitsb"], f["na"], f["nb"])]
+            yield f.loc[keep, ["a", "b"]]
+
+    return pairs.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInPandas(run, "a long, b long")
+
+
+def anchored(group: DataFrame, comp: DataFrame | None, step: int) -> DataFrame:
+    """Pairs (a, b), a < b, of each group's anchors of this round with its other classes in other components."""
+    order = [F.xxhash64("cls", F.lit(step * ANCHORS + i)) for i in range(ANCHORS)]
+    rows = group
+    if comp is None:
+        rows = rows.withColumn("root", F.col("cls"))
+    else:
+        rows = rows.join(comp, rows["cls"] == comp["node"], "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
+        several = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+        rows = rows.join(several, "sig", "left_semi")
+    firsts = rows.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by(F.struct("cls", "root"), o) for o in order))).alias("firsts"))
+    # between two anchors a pair comes up once
+    other = F.filter("firsts", lambda x: (x["root"] != F.col("root")) & ((x["cls"] < F.col("cls")) | ~F.exists("firsts", lambda y: y["cls"] == F.col("cls"))))
+    pairs = rows.join(firsts, "sig").select("cls", F.explode(other).alias("first"))
+    return pairs.select(F.least("cls", "first.cls").alias("a"), F.greatest("cls", "first.cls").alias("b")).distinct()
+
+
+def crossing(group: DataFrame, comp: DataFrame, left: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes in a group but in different components whose sizes and bitmaps allow a link.
 
     Groups of one component fall away by aggregation; the others are dealt out
     in tiles of two blocks of about TILE classes, so none is in one task.
     """
     rows = group.join(comp, group["cls"] == comp["node"], "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
     several = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks")).where("lo <> hi").select("sig", "blocks")
-    rows = rows.join(several, "sig").join(sizes, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.join(several, "sig").join(left, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "root", "n")
+    tiles = tiles.select("sig", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "root", "n", "bits")
     # several small tiles to a task
-    tiles = tiles.withColumn("task", F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("sig"), F.lit(512))).otherwise(F.xxhash64("sig", "i", "j")))
+    tiles = tiles.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("sig"), F.lit(512))).otherwise(F.xxhash64("sig", "i", "j")))
 
     def run(key, frame):
-        out = []
+        out = [np.empty((0, 2), np.int64)]
         for (_, i, j), t in frame.groupby(["sig", "i", "j"], sort=False):
             t = t.sort_values("n", kind="stable")
             cls, root, n, block = (t[c].to_numpy() for c in ("cls", "root", "n", "block"))
+            maps = [np.frombuffer(x, np.uint8) for x in t["bits"]]
+            size = np.array([len(x) for x in maps])
+            by = {b: np.stack([m for m in maps if len(m) == b]) for b in set(size.tolist())}
+            place = np.zeros(len(t), int)
+            for b in by:
+                place[size == b] = np.arange((size == b).sum())
             last = np.searchsorted(n, n * 100 // PERCENT, side="right")
             for x in range(len(cls)):
                 y = np.arange(x + 1, last[x])
                 y = y[root[y] != root[x]]
                 if i != j:
                     y = y[block[y] != block[x]]
-                if len(y):
-                    out.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])], 1))
-        both = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+                for b in by if len(y) else ():
+                    some = y[size[y] == b]
+                    if len(some):
+                        some = some[may_link(maps[x], by[b][place[some]], n[x], n[some])]
+                        out.append(np.stack([np.minimum(cls[x], cls[some]), np.maximum(cls[x], cls[some])], 1))
+        both = np.unique(np.concatenate(out), axis=0)
         return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
-    return tiles.groupBy("task").applyInPandas(run, "a long, b long").distinct()
+    return tiles.drop("blocks").groupBy("task").applyInPandas(run, "a long, b long").distinct()
 
 
 def components_of(docs: DataFrame) -> DataFrame:
@@ -384,13 +452,9 @@ def components_of(docs: DataFrame) -> DataFrame:
     total = own.agg(F.sum("n")).first()[0] or 0
     group = table(groups(docs, common, max(1, math.ceil(total * (100 - PERCENT) / 100 / DEAL))), "join-groups")
     # the classes that are left, and one document of each to read its set from
-    classes = own.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    classes = surveyed.where("common is null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bits").alias("bits"))
     classes = table(classes, "join-classes")
     left = table(classes.join(group.select("cls").distinct(), "cls", "left_semi"), "join-left")
-    sizes = left.select("cls", "n")
-    n_left, in_all = left.agg(F.count(F.lit(1)), F.sum("n")).first()
-    wanted = sized(left.select(F.col("doc_id").alias("_doc")).distinct(), 16, n_left)
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("text")
 
     def collect(batches):
         for batch in batches:
@@ -398,19 +462,44 @@ def components_of(docs: DataFrame) -> DataFrame:
                 got = {class_of(s): ordered(s, common.value) for s in sets(some) if len(s)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([s.tobytes() for s in got.values()], pa.binary())], ["cls", "tokens"])
 
-    members = texts.mapInArrow(collect, "cls long, tokens binary").join(sizes.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
-    members = table(members, "join-members")
-    set_bytes = max(64, 8 * (in_all or 0) // max(1, n_left))
-
-    anchor = group.groupBy("sig").agg(F.min("cls").alias("a"))
-    x, y = sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb"))
-    stars = group.join(anchor, "sig").where("a <> cls").select("a", F.col("cls").alias("b")).distinct().join(x, "a").join(y, "b")
-    stars = table(stars.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b"), "join-stars")
-    first = table(verified(stars, members, stars.count(), set_bytes), "join-links")
-    comp = table(components(first), "join-components")
-    rest = table(crossing(group, comp, sizes).join(stars, ["a", "b"], "left_anti"), "join-crossing")
-    second = verified(rest, members, rest.count(), set_bytes)
-    comp = table(components(first.unionByName(second)), "join-components")
+    held: list[DataFrame] = []  # sets read so far
+
+    def links(pairs: DataFrame, n_pairs: int) -> DataFrame:
+        """The linked ones of a scratch table of candidates; reads the sets of their classes, each once."""
+        named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        own = left.join(named, "cls", "left_semi").select("cls", "doc_id", "n")
+        for h in held:
+            own = own.join(h.select("cls"), "cls", "left_anti")
+        own = table(own, "join-wanted")
+        n_own, in_all = own.agg(F.count(F.lit(1)), F.sum("n")).first()
+        if n_own:
+            wanted = sized(own.select(F.col("doc_id").alias("_doc")).distinct(), 16, n_own)
+            texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("text")
+            found = texts.mapInArrow(collect, "cls long, tokens binary").join(sized(own.select("cls"), 16, n_own), "cls", "left_semi")
+            held.append(table(found.groupBy("cls").agg(F.first("tokens").alias("tokens")), "join-members"))
+            weights.append(8 * in_all / n_own)
+        members = held[0]
+        for h in held[1:]:
+            members = members.unionByName(h)
+        return table(verified(pairs, members, n_pairs, max(64, int(max(weights)))), "join-links")
+
+    weights: list[float] = []
+    tried = linked = comp = None
+    for step in range(ROUNDS + 1):
+        if step < ROUNDS:
+            pairs = allowed(anchored(group, comp, step), left)
+        else:
+            pairs = crossing(group, comp, left.select("cls", "n", "bits"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = table(pairs, "join-pairs")
+        n = pairs.count()
+        if n:
+            found = links(pairs, n)
+            linked = found if linked is None else linked.unionByName(found)
+            tried = pairs if tried is None else tried.unionByName(pairs)
+        if n or comp is None:
+            comp = table(components(linked if linked is not None else pairs), "join-components")
 
     rooted = classes.select("cls", F.col("doc_id").alias("least")).join(comp, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
