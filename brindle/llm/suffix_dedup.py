@@ -16,7 +16,8 @@ repeated.  Round 2 ranks the rest past the threshold, by the string from an
 anchor's first start to the end of its last start's string: where that is
 repeated, all its starts are.  Round 3 takes the tied anchors that are still open (the
 ends of repeated passages), and with them those they tie with, and ranks each of
-their starts by the name of its whole string.  Only round 3 reads texts again.
+their starts by the name of its whole string; of tied anchors that round 2 has found
+alike, one stands for all.  Only round 3 reads texts again.
 
 Names are 64-bit fingerprints, compared with anchor and distance as well.
 """
@@ -39,7 +40,7 @@ LENGTH = 400
 GRAM, WINDOW, HALF = 64, 160, 120
 SLICE = 1 << 20
 #: Longer texts are searched in parts of this size that overlap by what a start may look at.
-PART = 1 << 22
+PART = 1 << 20
 #: Members from which on a class's starts are ranked as rows, by aggregation, rather than together in one task.
 HOT = 512
 _U = np.uint64
@@ -103,7 +104,7 @@ def survey(keyed: DataFrame, length: int) -> DataFrame:
             sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in texts]
             for i, j in pieces(sizes, SLICE):
                 b = np.frombuffer(b"".join(x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts[i:j]), np.uint8)
-                if len(b) <= 2 * PART:
+                if j - i > 1 or len(b) <= 2 * PART:
                     yield batch_of(ids[i:j], ks[i:j], anchors(b, np.cumsum(sizes[i:j]), length))
                     continue
                 for at in range(0, len(b), PART):  # a long text is a piece of its own
@@ -142,7 +143,12 @@ def ranks(frame: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.
     begin = np.cumsum(sizes) - sizes
     row = np.repeat(np.arange(len(frame)), n)
     step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    names = Names(np.frombuffer(b"".join(frame["bytes"]), np.uint8))(begin[row] + step, length)
+    at, names = begin[row] + step, np.zeros(len(row), _U)
+    cut = np.concatenate([[0], np.cumsum(n)])
+    data = frame["bytes"].to_list()
+    for i, j in pieces(sizes.tolist(), SLICE):  # fingerprints of a few contexts at a time, to hold little
+        part = slice(cut[i], cut[j])
+        names[part] = Names(np.frombuffer(b"".join(data[i:j]), np.uint8))(at[part] - begin[i], length)
     away = (frame["off"].to_numpy()[row] - step).astype(_U)
     return row, frame["first"].to_numpy()[row] + step, mixed(names + mixed(frame["cls"].to_numpy().view(_U)[row] + away * _U(0x9E3779B97F4A7C15)))
 
@@ -155,16 +161,22 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "k", "text")
     found = table(survey(keyed, length), "suffix-anchors")
     # round 1: pairs of ranks at an offset of HALF
-    tied = table(found.groupBy("name1", "name2").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "suffix-tied")
-    some = found.join(sized(tied, 24), ["name1", "name2"]).select("doc_id", "k", "anchor", "first", "last", "name3", "members", F.xxhash64("name1", "name2").alias("cls"))
+    tied = table(found.groupBy("name1", "name2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name1", "name2"), "suffix-tied")
+    some = found.join(sized(tied, 24), ["name1", "name2"]).select("doc_id", "k", "anchor", "first", "last", "name3", F.xxhash64("name1", "name2").alias("cls"))
     some = table(some, "suffix-open")
     # round 2: past the threshold
     whole = table(some.groupBy("cls", "name3").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls", "name3", F.lit(True).alias("whole")), "suffix-whole")
     known = table(some.join(sized(whole, 24), ["cls", "name3"], "left"), "suffix-known")
     covered = known.where("whole").select("doc_id", "k", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
-    # round 3: classes with an open member, each start by itself
-    left = table(known.where("whole is null").select("cls").distinct(), "suffix-classes")
-    rest = known.join(sized(left, 16), "cls", "left_semi")
+    # round 3: classes with an open member, each start by itself; of members alike in round 2 one will do
+    opened = known.where("whole is null")
+    left = table(opened.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).select("cls"), "suffix-classes")
+    alike = known.where("whole").join(sized(left, 16), "cls", "left_semi").groupBy("cls", "name3")
+    columns = ["doc_id", "k", "anchor", "first", "last"]
+    alike = alike.agg(F.first(F.struct(*columns)).alias("one")).select("cls", *(F.col(f"one.{c}").alias(c) for c in columns))
+    rest = table(opened.select("cls", *columns).unionByName(alike), "suffix-rest")
+    members = table(rest.groupBy("cls").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "suffix-members")
+    rest = rest.join(sized(members, 24), "cls")
     size = rest.agg(F.count(F.lit(1))).first()[0]
     listed = lambda rows: table(rows.groupBy("doc_id", "k").agg(F.collect_list(F.struct("anchor", "first", "last", "cls")).alias("list")), "suffix-lists")
     few, many = listed(rest.where(F.col("members") <= HOT)), listed(rest.where(F.col("members") > HOT))
