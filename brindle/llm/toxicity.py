@@ -34,7 +34,7 @@ MAX_ROWS = 20_000
 MAX_SLOTS = 4_000
 #: Documents of the rarer label a slot must occur in.
 LEAST = 4
-SLICE = 2 << 20
+SLICE = 1 << 20
 _MULT = np.uint32(0x01000193)
 
 
