@@ -17,8 +17,9 @@ common only moves work about; any set of shingles gives right results.
    classes are stored in a trie, an anchor's set walks down it, sharing the
    overlap of common beginnings, and a subtree is left as soon as the overlap
    so far and the elements that remain can't reach the bound of any set in it.
-   First the classes of a group that come first by each of ``ANCHORS`` hashes are
-   anchors of the others; the links found give components, and another round of
+   First some classes of a group are anchors of the others: the one that shares
+   most groups (edited copies are nearer to their original than to each other),
+   and those that come first by each of ``ANCHORS`` - 1 hashes. The links found give components, and another round of
    anchors follows between components.  Then all pairs of a group in different
    components follow, in tiles, but for those decided already.
 4. Components over all links.
@@ -381,12 +382,12 @@ def allowed(pairs: DataFrame, left: DataFrame) -> DataFrame:
 
 def anchored(group: DataFrame, comp: DataFrame | None, step: int) -> DataFrame:
     """Pairs (a, b), a < b, of each group's anchors of this round with its other classes in other components."""
-    order = [F.xxhash64("cls", F.lit(step * ANCHORS + i)) for i in range(ANCHORS)]
-    rows = group
+    order = [-F.col("shared"), *(F.xxhash64("cls", F.lit(step * ANCHORS + i)) for i in range(1, ANCHORS))]
+    rows = group.join(group.groupBy("cls").agg(F.count(F.lit(1)).alias("shared")), "cls")
     if comp is None:
         rows = rows.withColumn("root", F.col("cls"))
     else:
-        rows = rows.join(comp, rows["cls"] == comp["node"], "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
+        rows = rows.join(comp, rows["cls"] == comp["node"], "left").select("sig", "cls", "shared", F.coalesce("root", "cls").alias("root"))
         several = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
         rows = rows.join(several, "sig", "left_semi")
     firsts = rows.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by(F.struct("cls", "root"), o) for o in order))).alias("firsts"))
