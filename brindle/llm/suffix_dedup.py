@@ -41,8 +41,8 @@ GRAM, WINDOW, HALF = 64, 160, 120
 SLICE = 1 << 20
 #: Longer texts are searched in parts of this size that overlap by what a start may look at.
 PART = 1 << 20
-#: Members from which on a class's starts are ranked as rows, by aggregation, rather than together in one task.
-HOT = 512
+#: A class of up to so many members is ranked together in one task (5 MB of context at most), a larger one as rows, by aggregation.
+HOT = 8192
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
 
@@ -218,8 +218,8 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), "text")
     spans = table(repeated(keyed, length).groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans")
-    weight = spans.agg(F.sum(F.size("spans")), F.count(F.lit(1))).first()
-    s = sized(spans, 1, 16 * (weight[0] or 0) + 64 * weight[1]).select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "spans")
+    # spans grow with the texts: no hint, so the plan is the same at any size that matters
+    s = spans.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "spans")
     joined = keyed.join(s, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
