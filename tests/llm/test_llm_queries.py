@@ -10,6 +10,9 @@ from brindle.llm import queries as Q
 from tests.llm.test_llm import components_by_force, lines_by_force
 from tests.test_entry import SF, same
 
+#: With enough labels for the classifier to be judged.
+LABELLED = "/root/testdata/sf0.01"
+
 
 @pytest.fixture(scope="module")
 def duck():
@@ -25,17 +28,17 @@ def test_query(spark, duck, name):
 
 
 def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet(f"{LABELLED}/documents.parquet")
     assert [n for n, _ in P.STAGES] == ["quality", "lines", "near_duplicates", "mix", "tokens"]
     stage = {}
     for name, f in P.STAGES:
         before = docs
-        docs = P.table(f(spark, docs, SF), f"test-{name}")
+        docs = P.table(f(spark, docs, LABELLED), f"test-{name}")
         stage[name] = (before.collect(), docs.collect())
         if name != "tokens":
             assert docs.columns == before.columns
     # quality: most stay, those labelled good above all
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{LABELLED}/labels.parquet").collect()}
     kept = {r.doc_id for r in stage["quality"][1]}
     good = [i for i, q in labels.items() if q == 1]
     assert sum(i in kept for i in good) >= 0.98 * len(good) and any(i not in kept for i, q in labels.items() if q == 0)
