@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import ResourceExhausted
 from ..functions.types import Kind
 from ..plans.chain import Fold, Ref
 
-#: Groups and distinct entries beyond which a fold is refused, never cut.
-MAX_GROUPS, MAX_DISTINCT = 65_536, 1_048_576
 _INT64 = T.DecimalType(38, 0)
 
 
@@ -74,8 +73,11 @@ def column_of(f: Fold, prefix: str) -> tuple[list[Column], Column]:
     return [total(unscaled(c, k)).alias(prefix), n], scaled(value, k).cast(T.DecimalType(k.precision, k.scale))
 
 
-def fold(frame: DataFrame, folds: list[Fold], group: list[Ref], max_groups: int | None = None) -> DataFrame:
-    """The folded frame, columns o0, o1, ...; without a group one row, even over no rows."""
+def fold(frame: DataFrame, folds: list[Fold], group: list[Ref], max_groups: int | None = None, keep=None) -> DataFrame:
+    """The folded frame, columns o0, o1, ...; without a group one row, even over no rows.
+
+    With ``max_groups`` the groups are written by ``keep`` and counted: more are refused, never cut.
+    """
     aggregates, out = [], []
     for i, f in enumerate(folds):
         needed, value = column_of(f, f"a{i}")
@@ -86,9 +88,7 @@ def fold(frame: DataFrame, folds: list[Fold], group: list[Ref], max_groups: int
     keys = [F.col(r.at) for r in group]
     folded = frame.groupBy(*keys).agg(*aggregates) if aggregates else frame.select(*keys).distinct()
     if max_groups is not None:
-        n = folded.limit(max_groups + 1).count()
-        if n > max_groups:
-            from ..errors import ResourceExhausted
-
+        folded = keep(folded)
+        if folded.count() > max_groups:
             raise ResourceExhausted(f"more than {max_groups} groups")
     return folded.select(*out)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.chain import Block, NullTest, Ref, Sub, Test
-from .fold import MAX_GROUPS, fold
+from .fold import fold
 
 _OPS = {
     "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b,
@@ -40,7 +40,7 @@ def both(conditions) -> Column:
 class Lowering:
     """``read``: a relation's name to its DataFrame; ``scratch``: writes a frame to the shared folder and reads it again."""
 
-    def __init__(self, read, scratch, max_groups: int = MAX_GROUPS):
+    def __init__(self, read, scratch, max_groups: int | None = None):
         self.read, self.scratch, self.max_groups = read, scratch, max_groups
 
     # ---- frames
@@ -137,7 +137,7 @@ class Lowering:
         """The result, columns by position o0, o1, ...; ordered where the order can be told."""
         frame = self.frame(block)
         if block.folded:
-            return fold(frame, block.folds, block.group, self.max_groups)
+            return fold(frame, block.folds, block.group, self.max_groups, self.scratch)
         if block.order or block.limit is not None or block.offset or emitted:
             frame = frame.orderBy(*self.order(block, frame))
         if block.offset:
