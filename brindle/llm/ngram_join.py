@@ -17,9 +17,8 @@ common only moves work about; any set of shingles gives right results.
    classes are stored in a trie, an anchor's set walks down it, sharing the
    overlap of common beginnings, and a subtree is left as soon as the overlap
    so far and the elements that remain can't reach the bound of any set in it.
-   First some classes of a group are anchors of the others: the one that shares
-   most groups (edited copies are nearer to their original than to each other),
-   and those that come first by each of ``ANCHORS`` - 1 hashes. The links found give components, and another round of
+   First some classes of a group are anchors of the others: its hub, and those
+   that come first by each of ``ANCHORS`` - 1 hashes. The links found give components, and another round of
    anchors follows between components.  Then all pairs of a group in different
    components follow, in tiles, but for those decided already.
 4. Components over all links.
@@ -53,6 +52,8 @@ BLOCK, COMMON, MOST_COMMON = 1 << 22, 8, 1 << 20
 DEAL, LEAVES, TILE = 1 << 19, 128, 512
 #: Anchors of a group in a round, and rounds, before all pairs that are left.
 ANCHORS, ROUNDS = 4, 2
+#: Groups from this size on are merged if the same class stands out in them.
+LARGE = 64
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -366,6 +367,21 @@ def verified(pairs: DataFrame, members: DataFrame, n_pairs: int, set_bytes: int)
     return rows.groupBy("task").applyInPandas(run, "a long, b long")
 
 
+def merged(group: DataFrame, left: DataFrame) -> DataFrame:
+    """(sig, cls, hub): the groups, large ones with the same hub made one.
+
+    A group's hub is the class that shares the largest part of its prefix with
+    any other: edited copies are nearer to their original than to each other.
+    Each element of the original makes a group of almost the same copies; as
+    one group their pairs come up once.
+    """
+    shared = group.groupBy("cls").agg(F.count(F.lit(1)).alias("shared")).join(left.select("cls", "n"), "cls")
+    part = shared.select("cls", (F.col("shared") / (F.col("n") * (100 - PERCENT) / 100 + 1)).alias("part"))
+    hubs = group.join(part, "cls").groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("part", "cls")).alias("top"))
+    hubs = hubs.select("sig", F.col("top.cls").alias("hub"), F.when(F.col("size") >= LARGE, F.xxhash64("top.cls")).otherwise(F.col("sig")).alias("to"))
+    return group.join(hubs, "sig").select(F.col("to").alias("sig"), "cls", "hub").distinct()
+
+
 def allowed(pairs: DataFrame, left: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and bitmaps, in ``left`` (cls, n, bits), allow a link."""
     for side in "ab":
@@ -382,12 +398,12 @@ def allowed(pairs: DataFrame, left: DataFrame) -> DataFrame:
 
 def anchored(group: DataFrame, comp: DataFrame | None, step: int) -> DataFrame:
     """Pairs (a, b), a < b, of each group's anchors of this round with its other classes in other components."""
-    order = [-F.col("shared"), *(F.xxhash64("cls", F.lit(step * ANCHORS + i)) for i in range(1, ANCHORS))]
-    rows = group.join(group.groupBy("cls").agg(F.count(F.lit(1)).alias("shared")), "cls")
+    order = [(F.col("cls") != F.col("hub")).cast("long"), *(F.xxhash64("cls", F.lit(step * ANCHORS + i)) for i in range(1, ANCHORS))]
+    rows = group
     if comp is None:
         rows = rows.withColumn("root", F.col("cls"))
     else:
-        rows = rows.join(comp, rows["cls"] == comp["node"], "left").select("sig", "cls", "shared", F.coalesce("root", "cls").alias("root"))
+        rows = rows.join(comp, rows["cls"] == comp["node"], "left").select("sig", "cls", "hub", F.coalesce("root", "cls").alias("root"))
         several = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
         rows = rows.join(several, "sig", "left_semi")
     firsts = rows.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by(F.struct("cls", "root"), o) for o in order))).alias("firsts"))
@@ -456,6 +472,7 @@ def components_of(docs: DataFrame) -> DataFrame:
     classes = surveyed.where("common is null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bits").alias("bits"))
     classes = table(classes, "join-classes")
     left = table(classes.join(group.select("cls").distinct(), "cls", "left_semi"), "join-left")
+    group = table(merged(group, left), "join-merged")
 
     def collect(batches):
         for batch in batches:
