@@ -32,7 +32,7 @@ def main() -> None:
     took: dict[str, float] = {}
     for name in HEADLINE:
         runs = []
-        for _ in range(4):  # the first compiles
+        for _ in range(3):  # the first compiles
             began = time.perf_counter()
             Q.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - began)
