@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from functools import wraps
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +22,16 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests on one machine) a temporary folder is made, and removed at exit.
+    and Spark runs in this one process (tests) a temporary folder is made, and
+    removed at exit; elsewhere its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         got = spark.sparkContext.getCheckpointDir()
         if got:
             return got
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="brindle-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
@@ -75,6 +82,53 @@ def pieces(sizes, most: int):
         yield start, len(sizes)
 
 
+def lean(run):
+    """``run`` (batches -> batches) for a Python worker, which gives freed memory back when a task ends: workers are used again."""
+
+    @wraps(run)
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return out
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+# ---- 64-bit names of strings.  No step is linear in the bytes, so regular texts (Thue-Morse words, say) don't collide.
+_U = np.uint64
+_MULT, _STIR = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
+
+
+def stir(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads them; overwrites ``x``."""
+    x ^= x >> _U(32)
+    x *= _STIR
+    x ^= x >> _U(29)
+    x *= _MULT
+    x ^= x >> _U(32)
+    return x
+
+
+def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The name of a string from those of its two parts, in order."""
+    out = x * _MULT
+    out += y
+    return stir(out)
+
+
+def eights(data: bytes) -> np.ndarray:
+    """The eight bytes from every position as a number; those beyond the end are 0."""
+    n = len(data)
+    return np.ndarray((n,), "<u8", data + bytes(8), strides=(1,)) if n else np.empty(0, _U)
+
+
 def split_mod(doc_id) -> "F.Column":
     """crc32 of doc_id as text, modulo 3; rows where it is 1 are held out from all fitting (null id: as empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3

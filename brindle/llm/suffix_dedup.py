@@ -1,25 +1,28 @@
-"""Suffix-array dedup: bytes covered by a long string that also starts elsewhere, by prefix doubling.
-
-Whether the string of ``length`` bytes at a position starts anywhere else is a
-question about ranks: two positions tie at length 2L if they tie at L and so do
-the positions L further on.  Doubling over all positions would sort the corpus
-several times; most positions are unique after the first round.  So each start
-p is stood for by an *anchor*: the position with the least hash of its next
-GRAM bytes among the WINDOW positions from p.  It depends on the bytes of p's
-own string alone, so equal strings have anchors at equal distance, and about 1
-position in WINDOW / 2 is an anchor.
-
-Round 1 sorts anchors by the pair of names of their first and second HALF
-bytes: the rank at 2 * HALF, all of which lies in the string of every start
-that the anchor stands for.  Unique anchors are done: none of their starts is
-repeated.  Round 2 ranks the rest past the threshold, by the string from an
-anchor's first start to the end of its last start's string: where that is
-repeated, all its starts are.  Round 3 takes the tied anchors that are still open (the
-ends of repeated passages), and with them those they tie with, and ranks each of
-their starts by the name of its whole string; of tied anchors that round 2 has found
-alike, one stands for all.  Only round 3 reads texts again.
-
-Names are 64-bit fingerprints, compared with anchor and distance as well.
+"""Suffix-array dedup: bytes covered by a long string that also starts elsewhere, by distributed prefix doubling.
+
+Two positions tie at a length if they tie at a shorter one and so do the
+positions as far on as that length, or less: ranks of long strings are pairs of
+ranks of shorter ones.  Doubling over every byte would sort the corpus several
+times over, so ranks are kept for *anchors*: a start's anchor is the position
+with the least hash of its next GRAM bytes among the WINDOW positions from it.
+It depends on the start's own string alone, so equal strings have anchors at
+equal distance, and about 1 position in WINDOW / 2 is one.
+
+1. An anchor's first rank is the name of the ``length`` - WINDOW bytes from it,
+   all of which lie in the string of every start that has this anchor.  Anchors
+   whose rank is unique fall away, and their starts with them.
+2. Rounds at growing offsets.  A row (position, rank) is paired with the rank of
+   a position as far on as its own string reaches, or as is needed; the pair and
+   its offset are the new rank, of a string about twice as long.  Rows whose new
+   rank is unique fall away.  A row stops past the threshold: when its string
+   holds every string of a group of starts with one anchor.  What still ties
+   then is repeated, with all the starts in it.
+3. Groups that fell away in 2 hold the ends of repeated passages.  Their starts
+   are ranked singly, among the groups whose anchors tie in 1 (of settled ones
+   that are alike, one stands for all): a start's rank is the name of its whole
+   string, from names at offsets of GRAM.
+
+Names are 64-bit and made by doubling, too.  Only steps 1 and 3 read texts.
 """
 
 from __future__ import annotations
@@ -33,102 +36,167 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ngram_join import _BYTE, _powers, mixed
-from .shared import pieces, sized, table
+from .shared import drop_tables, eights, give_back, joined, lean, pieces, sized, stir, table
 
 LENGTH = 400
-GRAM, WINDOW, HALF = 64, 160, 120
-SLICE = 1 << 20
-#: Longer texts are searched in parts of this size that overlap by what a start may look at.
-PART = 1 << 20
+GRAM, WINDOW = 64, 160
+#: Rounds after which every string is past the threshold, for any length of LENGTH at least.
+ROUNDS = 3
+#: Bytes a worker looks at together.
+SLICE = 1 << 19
+#: Longer texts are searched in parts of this size, with what lies around them.
+PART = 1 << 19
+#: Starts that a task ranks singly, about.
+STARTS = 1 << 19
 #: A class of up to so many members is ranked together in one task (5 MB of context at most), a larger one as rows, by aggregation.
 HOT = 8192
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
 
 
-class Names:
-    """Fingerprints of any strings of one byte array."""
+def grams(data: bytes) -> np.ndarray:
+    """The name of the GRAM bytes from every position, by doubling from 8 bytes on (fewer near the end)."""
+    h = stir(eights(data).copy())
+    step = 8
+    while step < GRAM:
+        h = joined(h[:-step], h[step:])
+        step *= 2
+    return h
 
-    def __init__(self, b: np.ndarray):
-        power, self.inverse = _powers(1 << max(16, int(len(b)).bit_length()))
-        self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[b] * power[: len(b)])])
 
-    def __call__(self, at: np.ndarray, n) -> np.ndarray:
-        return mixed((self.sums[at + n] - self.sums[at]) * self.inverse[at])
+def names(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Names of the strings of n >= GRAM bytes at the positions ``at``, from those of GRAM bytes."""
+    out = h[at]
+    for off in [*range(GRAM, n - GRAM, GRAM), n - GRAM] if n > GRAM else ():
+        out = joined(out, h[at + off])
+    return out
 
 
-def anchors(b: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(doc, anchor, first, last, name1, name2, name3) for texts laid end to end in ``b``, ending at ``ends``.
+def anchors(data: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(doc, pos, rank, cover, hop per round, pred, first, last) of the positions with a rank in texts laid end to end.
 
-    first..last: the starts that the anchor stands for; places count from the text's begin.
+    Positions: the anchors, and a text's first position and the last that has a
+    rank, all counted from the text's begin.  cover: the bytes ranked in the
+    end.  hop: the offset to pair with in each round, 0 for none.  first..last
+    are the starts whose anchor the position is, pred the way back to the
+    position from which the rounds settle them; -1 where there are none.
     """
+    none = tuple(np.empty(0, np.int64) for _ in range(7 + ROUNDS))
+    reach = length - WINDOW
     begins = np.concatenate([[0], ends[:-1]])
-    names = Names(b)
-    n = len(b) - GRAM + 1
-    starts = len(b) - length + 1
+    starts = len(data) - length + 1
     if starts <= 0:
-        return tuple(np.empty(0, np.int64) for _ in range(7))
-    key = (names(np.arange(n), GRAM) & ~_LOW) | np.arange(n, dtype=_U)
+        return none
+    h = grams(data)
+    n = len(h)
+    key = (h & ~_LOW) | np.arange(n, dtype=_U)
     blocks = np.concatenate([key, np.full(-n % WINDOW, ~_U(0))]).reshape(-1, WINDOW)
+    del key
     ahead = np.minimum.accumulate(blocks, 1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
-    least = np.minimum(behind[:starts], ahead[WINDOW - 1 : WINDOW - 1 + starts])
-    of = (least & _LOW).astype(np.int64)
-    doc = np.repeat(np.arange(len(ends)), ends - begins)[:starts]
-    inside = np.arange(starts) + length <= ends[doc]
-    p = np.flatnonzero(inside)
+    of = (np.minimum(behind[:starts], ahead[WINDOW - 1 : WINDOW - 1 + starts]) & _LOW).astype(np.int32)
+    del blocks, ahead, behind
+    doc = np.repeat(np.arange(len(ends), dtype=np.int32), ends - begins)[:starts]
+    p = np.flatnonzero(np.arange(starts) + length <= ends[doc])
     if not len(p):
-        return tuple(np.empty(0, np.int64) for _ in range(7))
+        return none
     of, doc = of[p], doc[p]
     new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (doc[1:] != doc[:-1])]))
-    first, last, a, doc = p[new], p[np.concatenate([new[1:], [len(p)]]) - 1], of[new], doc[new]
-    third = mixed(names(first, last - first + length) + (a - first).astype(_U))
-    at = begins[doc]
-    return doc, a - at, first - at, last - at, names(a, HALF).view(np.int64), names(a + HALF, HALF).view(np.int64), third.view(np.int64)
-
-
-_ANCHORS = "doc_id long, k long, anchor long, first long, last long, name1 long, name2 long, name3 long"
+    first, last, a = p[new], p[np.concatenate([new[1:], [len(p)]]) - 1], of[new].astype(np.int64)
+    long = np.flatnonzero(ends - begins >= length)
+    pos = np.unique(np.concatenate([a, begins[long], ends[long] - reach]))
+    # from which position a group is settled, and how far that must reach
+    pred = np.searchsorted(pos, first, "right") - 1
+    need = np.zeros(len(pos), np.int64)
+    np.maximum.at(need, pred, last + length)
+    need = np.maximum.accumulate(need)
+    cover, hops = pos + reach, []
+    for _ in range(ROUNDS):
+        on = np.minimum(np.searchsorted(cover, need), np.searchsorted(pos, cover, "right") - 1)
+        go = cover < need
+        hops.append(np.where(go, pos[on] - pos, 0))
+        cover = np.where(go, cover[on], cover)
+    at = np.searchsorted(pos, a)
+    back, begin, end = (np.full(len(pos), -1) for _ in range(3))
+    doc = np.searchsorted(ends, pos, "right")
+    back[at], begin[at], end[at] = a - pos[pred], first - begins[doc[at]], last - begins[doc[at]]
+    return doc, pos - begins[doc], names(h, pos, reach).view(np.int64), cover - pos, *hops, back, begin, end
+
+
+_HOPS = [f"hop{i}" for i in range(1, ROUNDS + 1)]
+_KINDS = {"doc_id": "long", "k": "long", "pos": "long", "rank": "long", "cover": "int", **dict.fromkeys(_HOPS, "int"), "pred": "int", "first": "long", "last": "long"}
 
 
 def survey(keyed: DataFrame, length: int) -> DataFrame:
-    """The anchors of every text of ``keyed`` (doc_id, k, text)."""
+    """The positions with a rank of every text of ``keyed`` (doc_id, k, text), each once."""
 
     def batch_of(ids, ks, found):
-        doc, *rest = found
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), ks.take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in rest)], [x.split()[0] for x in _ANCHORS.split(", ")])
+        doc, pos, rank, cover, *rest, first, last = found
+        doc = pa.array(doc)
+        own = [pos, rank, cover.astype(np.int32), *(x.astype(np.int32) for x in rest), first, last]
+        return pa.RecordBatch.from_arrays([ids.take(doc), ks.take(doc), *map(pa.array, own)], list(_KINDS))
 
+    @lean
     def run(batches):
         for batch in batches:
             texts, ids, ks = batch.column("text"), batch.column("doc_id"), batch.column("k")
             sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in texts]
             for i, j in pieces(sizes, SLICE):
-                b = np.frombuffer(b"".join(x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts[i:j]), np.uint8)
-                if j - i > 1 or len(b) <= 2 * PART:
-                    yield batch_of(ids[i:j], ks[i:j], anchors(b, np.cumsum(sizes[i:j]), length))
+                if j - i > 1 or sizes[i] <= 2 * PART:
+                    data = b"".join(x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts[i:j])
+                    yield batch_of(ids[i:j], ks[i:j], anchors(data, np.cumsum(sizes[i:j]), length))
                     continue
-                for at in range(0, len(b), PART):  # a long text is a piece of its own
-                    part = b[at : at + PART + length - 1]
-                    doc, a, first, last, *names = anchors(part, np.array([len(part)]), length)
-                    yield batch_of(ids[i:j], ks[i:j], (doc, a + at, first + at, last + at, *names))
-
-    return keyed.mapInArrow(run, _ANCHORS)
+                whole = texts[i].as_buffer()
+                for at in range(0, sizes[i], PART):  # a long text is a piece of its own
+                    low = max(0, at - 4 * WINDOW)
+                    part = whole.slice(low, min(sizes[i], at + PART + 3 * length + 4 * WINDOW) - low).to_pybytes()
+                    doc, pos, *rest, first, last = anchors(part, np.array([len(part)]), length)
+                    own = np.flatnonzero((pos + low >= at) & (pos + low < at + PART))
+                    held = first[own] >= 0
+                    yield batch_of(ids[i:j], ks[i:j], (doc[own], pos[own] + low, *(x[own] for x in rest), np.where(held, first[own] + low, -1), np.where(held, last[own] + low, -1)))
+
+    return keyed.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in _KINDS.items()))
+
+
+def _tied(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of a scratch table whose rank isn't theirs alone."""
+    ties = table(rows.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank"), name)
+    return rows.join(sized(ties, 32), "rank", "left_semi")
+
+
+def doubled(rows: DataFrame) -> DataFrame:
+    """(doc_id, k, pos, rank, cover): the rows (with hops) that still tie past the threshold."""
+    spark = rows.sparkSession
+    rows = rows.select("doc_id", "k", "pos", "rank", "cover", *_HOPS)
+    for n, hop in enumerate(_HOPS):
+        far = rows.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), F.col("pos").alias("_pos"), F.col("rank").alias("_rank"))
+        # a partner that fell away is unique, and so is a string that holds its string
+        pairs = rows.where(f"{hop} > 0").join(far, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")) & (F.col("pos") + F.col(hop) == F.col("_pos")))
+        pairs = table(pairs.select("doc_id", "k", "pos", F.xxhash64("rank", hop, "_rank").alias("rank"), "cover", *_HOPS[n + 1 :]), "suffix-pairs")
+        still = _tied(pairs, "suffix-ties")
+        done = rows.where(f"{hop} = 0").select("doc_id", "k", "pos", "rank", "cover", *_HOPS[n + 1 :])
+        after = table(done.unionByName(still), "suffix-round")
+        drop_tables(spark, pairs, *([rows] if n else []))
+        rows = after
+    return rows
 
 
 def _open_starts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes from first start to end of last string of each anchor in ``wanted`` (doc_id, k, list), and where its starts are."""
+    """The bytes from first start to end of last string of each group in ``wanted`` (doc_id, k, list), and where its starts are."""
     w = wanted.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "list")
     rows = keyed.join(w, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k"))).select("doc_id", "k", "text", "list")
 
+    @lean
     def contexts(batches):
         for batch in batches:
             texts, lists = batch.column("text"), batch.column("list")
-            for i, j in pieces(pa.compute.list_value_length(lists).to_pylist(), 2048):
+            for i, j in pieces(pa.compute.list_value_length(lists).to_pylist(), 1024):
                 out: list[list] = [[] for _ in range(6)]
                 for r in range(i, j):
-                    b = texts[r].as_buffer().to_pybytes()
+                    b = texts[r].as_buffer()
                     for x in lists[r].as_py():
-                        for column, value in zip(out, (r, x["first"], x["anchor"] - x["first"], x["last"] - x["first"] + 1, x["cls"], b[x["first"] : x["last"] + length])):
+                        own = b.slice(x["first"], x["last"] + length - x["first"]).to_pybytes()
+                        for column, value in zip(out, (r, x["first"], x["pos"] - x["first"], x["last"] - x["first"] + 1, x["cls"], own)):
                             column.append(value)
                 at = pa.array(out[0], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("k").take(at), *(pa.array(c, pa.int64()) for c in out[1:5]), pa.array(out[5], pa.binary())], ["doc_id", "k", "first", "off", "n", "cls", "bytes"])
@@ -138,72 +206,85 @@ def _open_starts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 def ranks(frame: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, rank) of every start of the contexts in ``frame``: equal ranks for equal strings at equal distance from tied anchors."""
-    sizes = frame["bytes"].map(len).to_numpy()
-    n = frame["n"].to_numpy()
-    begin = np.cumsum(sizes) - sizes
-    row = np.repeat(np.arange(len(frame)), n)
+    sizes, n = frame["bytes"].map(len).to_numpy(), frame["n"].to_numpy()
+    row = np.repeat(np.arange(len(frame), dtype=np.int32), n)
     step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    at, names = begin[row] + step, np.zeros(len(row), _U)
+    rank = np.empty(len(row), _U)
     cut = np.concatenate([[0], np.cumsum(n)])
     data = frame["bytes"].to_list()
-    for i, j in pieces(sizes.tolist(), SLICE):  # fingerprints of a few contexts at a time, to hold little
-        part = slice(cut[i], cut[j])
-        names[part] = Names(np.frombuffer(b"".join(data[i:j]), np.uint8))(at[part] - begin[i], length)
-    away = (frame["off"].to_numpy()[row] - step).astype(_U)
-    return row, frame["first"].to_numpy()[row] + step, mixed(names + mixed(frame["cls"].to_numpy().view(_U)[row] + away * _U(0x9E3779B97F4A7C15)))
+    for i, j in pieces(sizes.tolist(), SLICE // 2):  # a few contexts at a time, to hold little
+        part, begin = slice(cut[i], cut[j]), np.cumsum(sizes[i:j]) - sizes[i:j]
+        own = row[part] - i
+        away = frame["off"].to_numpy()[i:j][own] - step[part]
+        rank[part] = joined(names(grams(b"".join(data[i:j])), begin[own] + step[part], length), joined(frame["cls"].to_numpy()[i:j].view(_U)[own], away.astype(_U)))
+    return row, frame["first"].to_numpy()[row] + step, rank
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, k, start, stop): byte ranges that strings which also start elsewhere cover, for rows (doc_id, k, text).
 
-    k tells rows of one doc_id apart; ranges may overlap and repeat.
+    No two rows agree in doc_id and k; ranges may overlap.  ``length``: LENGTH at least.
     """
+    if length < LENGTH:
+        raise ValueError(f"strings of at least {LENGTH} bytes can be searched for")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "k", "text")
-    found = table(survey(keyed, length), "suffix-anchors")
-    # round 1: pairs of ranks at an offset of HALF
-    tied = table(found.groupBy("name1", "name2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name1", "name2"), "suffix-tied")
-    some = found.join(sized(tied, 24), ["name1", "name2"]).select("doc_id", "k", "anchor", "first", "last", "name3", F.xxhash64("name1", "name2").alias("cls"))
-    some = table(some, "suffix-open")
-    # round 2: past the threshold
-    whole = table(some.groupBy("cls", "name3").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls", "name3", F.lit(True).alias("whole")), "suffix-whole")
-    known = table(some.join(sized(whole, 24), ["cls", "name3"], "left"), "suffix-known")
-    covered = known.where("whole").select("doc_id", "k", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
-    # round 3: classes with an open member, each start by itself; of members alike in round 2 one will do
-    opened = known.where("whole is null")
-    left = table(opened.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).select("cls"), "suffix-classes")
-    alike = known.where("whole").join(sized(left, 16), "cls", "left_semi").groupBy("cls", "name3")
-    columns = ["doc_id", "k", "anchor", "first", "last"]
-    alike = alike.agg(F.first(F.struct(*columns)).alias("one")).select("cls", *(F.col(f"one.{c}").alias(c) for c in columns))
+    spark = keyed.sparkSession
+    found = table(survey(keyed, length), "suffix-positions")
+    some = table(_tied(found, "suffix-first"), "suffix-open")
+    drop_tables(spark, found)
+    settled = doubled(some)
+    covered = settled.select("doc_id", "k", F.col("pos").alias("start"), (F.col("pos") + F.col("cover")).alias("stop"))
+    covered = covered.where(F.col("stop") - F.col("start") >= length)
+    # the groups of starts, with the rank at which they are settled or none
+    by = settled.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), F.col("pos").alias("_pos"), F.col("rank").alias("run"))
+    at = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")) & (F.col("pos") - F.col("pred") == F.col("_pos"))
+    columns = ["doc_id", "k", "pos", "first", "last"]
+    known = table(some.where("pred >= 0").join(by, at, "left").select(*columns, "pred", F.col("rank").alias("cls"), "run"), "suffix-groups")
+    # classes with an open group, each start by itself; of groups that are settled alike one will do
+    opened = known.where("run is null")
+    left = table(opened.select("cls").distinct(), "suffix-classes")
+    alike = known.where("run is not null").join(sized(left, 32), "cls", "left_semi")
+    alike = alike.groupBy("cls", "run", "pred", (F.col("pos") - F.col("first")).alias("_f"), (F.col("last") - F.col("pos")).alias("_l")).agg(F.first(F.struct(*columns)).alias("one"))
+    alike = alike.select("cls", *(F.col(f"one.{c}").alias(c) for c in columns))
     rest = table(opened.select("cls", *columns).unionByName(alike), "suffix-rest")
     members = table(rest.groupBy("cls").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "suffix-members")
-    rest = rest.join(sized(members, 24), "cls")
-    size = rest.agg(F.count(F.lit(1))).first()[0]
-    listed = lambda rows: table(rows.groupBy("doc_id", "k").agg(F.collect_list(F.struct("anchor", "first", "last", "cls")).alias("list")), "suffix-lists")
+    rest = rest.join(sized(members, 40), "cls")
+    size, starts = rest.agg(F.count(F.lit(1)), F.sum(F.col("last") - F.col("first") + 1)).first()
+    listed = lambda rows: table(rows.groupBy("doc_id", "k").agg(F.collect_list(F.struct("pos", "first", "last", "cls")).alias("list")), "suffix-lists")
     few, many = listed(rest.where(F.col("members") <= HOT)), listed(rest.where(F.col("members") > HOT))
-    tasks = max(1, math.ceil(size * (length + WINDOW) / (8 << 20)))
+    tasks = max(1, math.ceil((starts or 0) / STARTS))
 
     def meet(key, frame):
         row, start, rank = ranks(frame, length)
-        _, back, n = np.unique(rank, return_inverse=True, return_counts=True)
-        hit = np.flatnonzero(n[back] > 1)
+        ids = frame[["doc_id", "k"]]
+        del frame
+        order = np.argsort(rank, kind="stable")
+        same = rank[order][1:] == rank[order][:-1]
+        tied = np.zeros(len(rank), bool)
+        tied[order[1:][same]] = True
+        tied[order[:-1][same]] = True
+        del order, same, rank
+        hit = np.flatnonzero(tied)
         row, start = row[hit], start[hit]
         new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])) if len(hit) else np.empty(0, int)
         end = start[np.concatenate([new[1:], [len(hit)]]) - 1] if len(hit) else start
-        own = frame[["doc_id", "k"]].iloc[row[new]]
-        return own.assign(start=start[new], stop=end + length).astype({"k": "int64", "start": "int64", "stop": "int64"})
+        own = ids.iloc[row[new]].assign(start=start[new], stop=end + length).astype({"k": "int64", "start": "int64", "stop": "int64"})
+        give_back()
+        return own
 
     spans = "doc_id long, k long, start long, stop long"
-    by_task = _open_starts(keyed, sized(few, 40, size), length).withColumn("task", F.pmod(F.xxhash64("cls"), F.lit(tasks)))
+    by_task = _open_starts(keyed, sized(few, 64, size), length).withColumn("task", F.pmod(F.xxhash64("cls"), F.lit(tasks)))
     exact = by_task.groupBy("task").applyInPandas(meet, spans)
 
     def listing(frames):
         for frame in frames:
-            row, start, rank = ranks(frame, length)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy()[row], "k": frame["k"].to_numpy()[row], "start": start, "rank": rank.view(np.int64)}).astype({"k": "int64", "start": "int64"})
+            for i, j in pieces(frame["n"].to_list(), STARTS // 4):
+                part = frame.iloc[i:j]
+                row, start, rank = ranks(part, length)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[row], "k": part["k"].to_numpy()[row], "start": start, "rank": rank.view(np.int64)}).astype({"k": "int64", "start": "int64"})
 
-    starts = table(_open_starts(keyed, sized(many, 40, size), length).mapInPandas(listing, "doc_id long, k long, start long, rank long"), "suffix-starts")
-    common = starts.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank")
-    hot = starts.join(common, "rank", "left_semi").select("doc_id", "k", "start", (F.col("start") + length).alias("stop"))
+    single = table(_open_starts(keyed, sized(many, 64, size), length).mapInPandas(lean(listing), "doc_id long, k long, start long, rank long"), "suffix-starts")
+    hot = _tied(single, "suffix-common").select("doc_id", "k", "start", (F.col("start") + length).alias("stop"))
     return covered.unionByName(exact).unionByName(hot)
 
 
@@ -214,16 +295,26 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     that also starts anywhere else, in this or another row, as array<struct<start,
     stop>>; ``kept``: the other bytes, which may break a character.  Strings are
     judged on the input, never across rows.  Null text: as empty, with no spans.
-    Rows that repeat are rows of their own: each repeats the other.
+    Rows that repeat are rows of their own: each repeats the other, so all of a
+    text of at least ``length`` bytes goes.  A text of any length is searched in
+    parts.  Other columns are not looked at; an empty table gives no rows.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), "text")
-    spans = table(repeated(keyed, length).groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans")
+    again = keyed.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text").cast("long")).alias("stop")).where("n > 1")
+    again = table(again.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "stop"), "suffix-again")
+    once, same = keyed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k"))
+    if again.head(1):
+        marks = sized(again.drop("stop"), 48)
+        once = keyed.join(marks, same, "left_anti").unionByName(keyed.join(marks, same, "left_semi").dropDuplicates(["doc_id", "k"]))
+    found = repeated(once, length).unionByName(again.where(F.col("stop") >= length).select(F.col("_d").alias("doc_id"), F.col("_k").alias("k"), F.lit(0).cast("long").alias("start"), "stop"))
+    spans = table(found.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans")
     # spans grow with the texts: no hint, so the plan is the same at any size that matters
     s = spans.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "spans")
-    joined = keyed.join(s, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
+    paired = keyed.join(s, same, "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
 
+    @lean
     def run(batches):
         for batch in batches:
             texts, lists = batch.column("text"), batch.column("spans")
@@ -243,4 +334,4 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(sizes, pa.int64()), pa.array(merged, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return joined.mapInArrow(run, schema)
+    return paired.mapInArrow(run, schema)
