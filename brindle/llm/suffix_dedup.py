@@ -73,15 +73,12 @@ def names(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(data: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(doc, pos, rank, cover, hop per round, pred, first, last) of the positions with a rank in texts laid end to end.
+    """(doc, pos, rank, hops, group) of the positions with a rank in texts laid end to end; group is -1 for none.
 
     Positions: the anchors, and a text's first position and the last that has a
-    rank, all counted from the text's begin.  cover: the bytes ranked in the
-    end.  hop: the offset to pair with in each round, 0 for none.  first..last
-    are the starts whose anchor the position is, pred the way back to the
-    position from which the rounds settle them; -1 where there are none.
+    rank, all counted from the text's begin.
     """
-    none = tuple(np.empty(0, np.int64) for _ in range(7 + ROUNDS))
+    none = tuple(np.empty(0, np.int64) for _ in range(5))
     reach = length - WINDOW
     begins = np.concatenate([[0], ends[:-1]])
     starts = len(data) - length + 1
@@ -116,75 +113,86 @@ def anchors(data: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...
         go = cover < need
         hops.append(np.where(go, pos[on] - pos, 0))
         cover = np.where(go, cover[on], cover)
-    at = np.searchsorted(pos, a)
-    back, begin, end = (np.full(len(pos), -1) for _ in range(3))
+    group = np.full(len(pos), -1)
+    group[np.searchsorted(pos, a)] = _packed(a - pos[pred], a - first, a - last)
     doc = np.searchsorted(ends, pos, "right")
-    back[at], begin[at], end[at] = a - pos[pred], first - begins[doc[at]], last - begins[doc[at]]
-    return doc, pos - begins[doc], names(h, pos, reach).view(np.int64), cover - pos, *hops, back, begin, end
+    return doc, pos - begins[doc], names(h, pos, reach).view(np.int64), _packed(*hops), group
 
 
-_HOPS = [f"hop{i}" for i in range(1, ROUNDS + 1)]
-_KINDS = {"doc_id": "long", "k": "long", "pos": "long", "rank": "long", "cover": "int", **dict.fromkeys(_HOPS, "int"), "pred": "int", "first": "long", "last": "long"}
+#: Bits of an offset in a packed column.
+BITS = 20
+_MASK = (1 << BITS) - 1
+_KINDS = "k long, pos long, rank long, hops long, group long"
+
+
+def _packed(*offsets: np.ndarray) -> np.ndarray:
+    return sum(x << (BITS * i) for i, x in enumerate(offsets))
+
+
+def _offset(column: str, i: int):
+    return F.shiftrightunsigned(column, BITS * i).bitwiseAND(_MASK)
 
 
 def survey(keyed: DataFrame, length: int) -> DataFrame:
-    """The positions with a rank of every text of ``keyed`` (doc_id, k, text), each once."""
+    """The positions with a rank of every text of ``keyed`` (k, text), each once.
+
+    hops: the offset to pair with in each round, 0 for none; group: how far
+    before the position its settling position, first and last start are (null
+    where it is no start's anchor).
+    """
 
-    def batch_of(ids, ks, found):
-        doc, pos, rank, cover, *rest, first, last = found
-        doc = pa.array(doc)
-        own = [pos, rank, cover.astype(np.int32), *(x.astype(np.int32) for x in rest), first, last]
-        return pa.RecordBatch.from_arrays([ids.take(doc), ks.take(doc), *map(pa.array, own)], list(_KINDS))
+    def batch_of(ks, found):
+        doc, pos, rank, hops, group = found
+        return pa.RecordBatch.from_arrays([ks.take(pa.array(doc)), pa.array(pos), pa.array(rank), pa.array(hops), pa.array(group, mask=group < 0)], ["k", "pos", "rank", "hops", "group"])
 
     @lean
     def run(batches):
         for batch in batches:
-            texts, ids, ks = batch.column("text"), batch.column("doc_id"), batch.column("k")
+            texts, ks = batch.column("text"), batch.column("k")
             sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in texts]
             for i, j in pieces(sizes, SLICE):
                 if j - i > 1 or sizes[i] <= 2 * PART:
                     data = b"".join(x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts[i:j])
-                    yield batch_of(ids[i:j], ks[i:j], anchors(data, np.cumsum(sizes[i:j]), length))
+                    yield batch_of(ks[i:j], anchors(data, np.cumsum(sizes[i:j]), length))
                     continue
                 whole = texts[i].as_buffer()
                 for at in range(0, sizes[i], PART):  # a long text is a piece of its own
                     low = max(0, at - 4 * WINDOW)
                     part = whole.slice(low, min(sizes[i], at + PART + 3 * length + 4 * WINDOW) - low).to_pybytes()
-                    doc, pos, *rest, first, last = anchors(part, np.array([len(part)]), length)
+                    doc, pos, *rest = anchors(part, np.array([len(part)]), length)
                     own = np.flatnonzero((pos + low >= at) & (pos + low < at + PART))
-                    held = first[own] >= 0
-                    yield batch_of(ids[i:j], ks[i:j], (doc[own], pos[own] + low, *(x[own] for x in rest), np.where(held, first[own] + low, -1), np.where(held, last[own] + low, -1)))
+                    yield batch_of(ks[i:j], (doc[own], pos[own] + low, *(x[own] for x in rest)))
 
-    return keyed.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in _KINDS.items()))
+    return keyed.mapInArrow(run, _KINDS)
 
 
 def _tied(rows: DataFrame, name: str) -> DataFrame:
     """The rows of a scratch table whose rank isn't theirs alone."""
     ties = table(rows.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank"), name)
-    return rows.join(sized(ties, 32), "rank", "left_semi")
+    return rows.join(ties, "rank", "left_semi")
 
 
 def doubled(rows: DataFrame) -> DataFrame:
-    """(doc_id, k, pos, rank, cover): the rows (with hops) that still tie past the threshold."""
+    """(k, pos, rank): the rows (k, pos, rank, hops) that still tie past the threshold."""
     spark = rows.sparkSession
-    rows = rows.select("doc_id", "k", "pos", "rank", "cover", *_HOPS)
-    for n, hop in enumerate(_HOPS):
-        far = rows.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), F.col("pos").alias("_pos"), F.col("rank").alias("_rank"))
+    rows = rows.select("k", "pos", "rank", "hops")
+    for n in range(ROUNDS):
+        hop = F.col("hops").bitwiseAND(_MASK)
+        far = rows.select(F.col("k").alias("_k"), F.col("pos").alias("_pos"), F.col("rank").alias("_rank"))
+        near = rows.where(hop > 0).withColumn("to", F.col("pos") + hop)
         # a partner that fell away is unique, and so is a string that holds its string
-        pairs = rows.where(f"{hop} > 0").join(far, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")) & (F.col("pos") + F.col(hop) == F.col("_pos")))
-        pairs = table(pairs.select("doc_id", "k", "pos", F.xxhash64("rank", hop, "_rank").alias("rank"), "cover", *_HOPS[n + 1 :]), "suffix-pairs")
-        still = _tied(pairs, "suffix-ties")
-        done = rows.where(f"{hop} = 0").select("doc_id", "k", "pos", "rank", "cover", *_HOPS[n + 1 :])
-        after = table(done.unionByName(still), "suffix-round")
+        pairs = near.join(far, (F.col("k") == F.col("_k")) & (F.col("to") == F.col("_pos")))
+        pairs = table(pairs.select("k", "pos", F.xxhash64("rank", hop, "_rank").alias("rank"), F.shiftrightunsigned("hops", BITS).alias("hops")), "suffix-pairs")
+        # who is done has no hops left
+        after = table(rows.where(hop == 0).unionByName(_tied(pairs, "suffix-ties").select(*rows.columns)), "suffix-round")
         drop_tables(spark, pairs, *([rows] if n else []))
         rows = after
-    return rows
+    return rows.select("k", "pos", "rank")
 
 
 def _open_starts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes from first start to end of last string of each group in ``wanted`` (doc_id, k, list), and where its starts are."""
-    w = wanted.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "list")
-    rows = keyed.join(w, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k"))).select("doc_id", "k", "text", "list")
+    """(k, cls, first, off, n, bytes) of each group in ``wanted`` (k, list): its first start, the anchor's distance, the starts, and the bytes of their strings."""
+    rows = keyed.join(wanted, "k").select("k", "text", "list")
 
     @lean
     def contexts(batches):
@@ -195,13 +203,12 @@ def _open_starts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 for r in range(i, j):
                     b = texts[r].as_buffer()
                     for x in lists[r].as_py():
-                        own = b.slice(x["first"], x["last"] + length - x["first"]).to_pybytes()
-                        for column, value in zip(out, (r, x["first"], x["pos"] - x["first"], x["last"] - x["first"] + 1, x["cls"], own)):
+                        first, last = (x["pos"] - (x["group"] >> (BITS * i) & _MASK) for i in (1, 2))
+                        for column, value in zip(out, (r, x["cls"], first, x["pos"] - first, last - first + 1, b.slice(first, last + length - first).to_pybytes())):
                             column.append(value)
-                at = pa.array(out[0], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("k").take(at), *(pa.array(c, pa.int64()) for c in out[1:5]), pa.array(out[5], pa.binary())], ["doc_id", "k", "first", "off", "n", "cls", "bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(out[0], pa.int64())), *(pa.array(c, pa.int64()) for c in out[1:5]), pa.array(out[5], pa.binary())], ["k", "cls", "first", "off", "n", "bytes"])
 
-    return rows.mapInArrow(contexts, "doc_id long, k long, first long, off long, n long, cls long, bytes binary")
+    return rows.mapInArrow(contexts, "k long, cls long, first long, off long, n long, bytes binary")
 
 
 def ranks(frame: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,43 +227,40 @@ def ranks(frame: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.
     return row, frame["first"].to_numpy()[row] + step, rank
 
 
-def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, k, start, stop): byte ranges that strings which also start elsewhere cover, for rows (doc_id, k, text).
+def repeated(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(k, start, stop): byte ranges that strings which also start elsewhere cover, for rows (k, text).
 
-    No two rows agree in doc_id and k; ranges may overlap.  ``length``: LENGTH at least.
+    No two rows agree in k; ranges may overlap.  ``length``: LENGTH at least.
     """
     if length < LENGTH:
         raise ValueError(f"strings of at least {LENGTH} bytes can be searched for")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "k", "text")
+    keyed = keyed.select("k", "text")
     spark = keyed.sparkSession
     found = table(survey(keyed, length), "suffix-positions")
-    some = table(_tied(found, "suffix-first"), "suffix-open")
+    some = table(_tied(found, "suffix-first").select("k", "pos", "rank", "hops", "group"), "suffix-open")
     drop_tables(spark, found)
     settled = doubled(some)
-    covered = settled.select("doc_id", "k", F.col("pos").alias("start"), (F.col("pos") + F.col("cover")).alias("stop"))
-    covered = covered.where(F.col("stop") - F.col("start") >= length)
     # the groups of starts, with the rank at which they are settled or none
-    by = settled.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), F.col("pos").alias("_pos"), F.col("rank").alias("run"))
-    at = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")) & (F.col("pos") - F.col("pred") == F.col("_pos"))
-    columns = ["doc_id", "k", "pos", "first", "last"]
-    known = table(some.where("pred >= 0").join(by, at, "left").select(*columns, "pred", F.col("rank").alias("cls"), "run"), "suffix-groups")
+    by = settled.select(F.col("k").alias("_k"), F.col("pos").alias("_pos"), F.col("rank").alias("run"))
+    groups = some.where("group is not null").select("k", "pos", F.col("rank").alias("cls"), "group", (F.col("pos") - _offset("group", 0)).alias("from"))
+    known = table(groups.join(by, (F.col("k") == F.col("_k")) & (F.col("from") == F.col("_pos")), "left").select("k", "pos", "cls", "group", "run"), "suffix-groups")
+    drop_tables(spark, some, settled)
+    covered = known.where("run is not null").select("k", (F.col("pos") - _offset("group", 1)).alias("start"), (F.col("pos") - _offset("group", 2) + length).alias("stop"))
     # classes with an open group, each start by itself; of groups that are settled alike one will do
-    opened = known.where("run is null")
+    opened = known.where("run is null").select("cls", "k", "pos", "group")
     left = table(opened.select("cls").distinct(), "suffix-classes")
-    alike = known.where("run is not null").join(sized(left, 32), "cls", "left_semi")
-    alike = alike.groupBy("cls", "run", "pred", (F.col("pos") - F.col("first")).alias("_f"), (F.col("last") - F.col("pos")).alias("_l")).agg(F.first(F.struct(*columns)).alias("one"))
-    alike = alike.select("cls", *(F.col(f"one.{c}").alias(c) for c in columns))
-    rest = table(opened.select("cls", *columns).unionByName(alike), "suffix-rest")
+    alike = known.where("run is not null").join(left, "cls", "left_semi").groupBy("cls", "run", "group").agg(F.min(F.struct("k", "pos")).alias("one"))
+    rest = table(opened.unionByName(alike.select("cls", "one.k", "one.pos", "group")), "suffix-rest")
     members = table(rest.groupBy("cls").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "suffix-members")
-    rest = rest.join(sized(members, 40), "cls")
-    size, starts = rest.agg(F.count(F.lit(1)), F.sum(F.col("last") - F.col("first") + 1)).first()
-    listed = lambda rows: table(rows.groupBy("doc_id", "k").agg(F.collect_list(F.struct("pos", "first", "last", "cls")).alias("list")), "suffix-lists")
+    rest = rest.join(members, "cls")
+    listed = lambda rows: table(rows.groupBy("k").agg(F.collect_list(F.struct("pos", "group", "cls")).alias("list")), "suffix-lists")
     few, many = listed(rest.where(F.col("members") <= HOT)), listed(rest.where(F.col("members") > HOT))
-    tasks = max(1, math.ceil((starts or 0) / STARTS))
+    n_few, n_many = (x.agg(F.sum(F.size("list"))).first()[0] or 0 for x in (few, many))
+    tasks = max(1, math.ceil(n_few * WINDOW / 2 / STARTS))
 
     def meet(key, frame):
         row, start, rank = ranks(frame, length)
-        ids = frame[["doc_id", "k"]]
+        k = frame["k"].to_numpy()
         del frame
         order = np.argsort(rank, kind="stable")
         same = rank[order][1:] == rank[order][:-1]
@@ -268,12 +272,12 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         row, start = row[hit], start[hit]
         new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])) if len(hit) else np.empty(0, int)
         end = start[np.concatenate([new[1:], [len(hit)]]) - 1] if len(hit) else start
-        own = ids.iloc[row[new]].assign(start=start[new], stop=end + length).astype({"k": "int64", "start": "int64", "stop": "int64"})
+        own = pd.DataFrame({"k": k[row[new]], "start": start[new], "stop": end + length}, dtype="int64")
         give_back()
         return own
 
-    spans = "doc_id long, k long, start long, stop long"
-    by_task = _open_starts(keyed, sized(few, 64, size), length).withColumn("task", F.pmod(F.xxhash64("cls"), F.lit(tasks)))
+    spans = "k long, start long, stop long"
+    by_task = _open_starts(keyed, sized(few, 48, n_few), length).withColumn("task", F.pmod(F.xxhash64("cls"), F.lit(tasks)))
     exact = by_task.groupBy("task").applyInPandas(meet, spans)
 
     def listing(frames):
@@ -281,10 +285,10 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for i, j in pieces(frame["n"].to_list(), STARTS // 4):
                 part = frame.iloc[i:j]
                 row, start, rank = ranks(part, length)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[row], "k": part["k"].to_numpy()[row], "start": start, "rank": rank.view(np.int64)}).astype({"k": "int64", "start": "int64"})
+                yield pd.DataFrame({"k": part["k"].to_numpy()[row], "start": start, "rank": rank.view(np.int64)}, dtype="int64")
 
-    single = table(_open_starts(keyed, sized(many, 64, size), length).mapInPandas(lean(listing), "doc_id long, k long, start long, rank long"), "suffix-starts")
-    hot = _tied(single, "suffix-common").select("doc_id", "k", "start", (F.col("start") + length).alias("stop"))
+    single = table(_open_starts(keyed, sized(many, 48, n_many), length).mapInPandas(lean(listing), "k long, start long, rank long"), "suffix-starts")
+    hot = _tied(single, "suffix-common").select("k", "start", (F.col("start") + length).alias("stop"))
     return covered.unionByName(exact).unionByName(hot)
 
 
@@ -299,18 +303,18 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text of at least ``length`` bytes goes.  A text of any length is searched in
     parts.  Other columns are not looked at; an empty table gives no rows.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), "text")
-    again = keyed.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text").cast("long")).alias("stop")).where("n > 1")
-    again = table(again.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "stop"), "suffix-again")
-    once, same = keyed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k"))
+    text = F.coalesce("text", F.lit(""))
+    # tells rows apart, but for equal ones
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("k"), text.alias("text"))
+    again = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text").cast("long")).alias("stop")).where("n > 1")
+    again, once = table(again.select("k", "stop"), "suffix-again"), keyed
     if again.head(1):
-        marks = sized(again.drop("stop"), 48)
-        once = keyed.join(marks, same, "left_anti").unionByName(keyed.join(marks, same, "left_semi").dropDuplicates(["doc_id", "k"]))
-    found = repeated(once, length).unionByName(again.where(F.col("stop") >= length).select(F.col("_d").alias("doc_id"), F.col("_k").alias("k"), F.lit(0).cast("long").alias("start"), "stop"))
-    spans = table(found.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans")
+        marks = sized(again.drop("stop"), 32)
+        once = keyed.join(marks, "k", "left_anti").unionByName(keyed.join(marks, "k", "left_semi").select(keyed.columns).dropDuplicates(["k"]))
+    found = repeated(once, length).unionByName(again.where(F.col("stop") >= length).select("k", F.lit(0).cast("long").alias("start"), "stop"))
+    spans = table(found.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans")
     # spans grow with the texts: no hint, so the plan is the same at any size that matters
-    s = spans.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "spans")
-    paired = keyed.join(s, same, "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
+    paired = keyed.join(spans, "k", "left").select("doc_id", "text", "spans")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
 
