@@ -13,12 +13,13 @@ common only moves work about; any set of shingles gives right results.
 3. A group's pairs are candidates if their sizes allow a link, and their parity
    bitmaps too: the bits in which two sets' parities differ are at most as many
    as the elements in which the sets do, so a pair beyond the bound is none.
-   The others are verified by prefix trees: the sets of up to ``LEAVES``
-   classes are stored in a trie, an anchor's set walks down it, sharing the
-   overlap of common beginnings, and a subtree is left as soon as the overlap
-   so far and the elements that remain can't reach the bound of any set in it.
+   They are dealt out in shards and joined by prefix trees: the sets on one
+   side of a shard's candidates are stored in tries, and all sets of the other
+   side go down a trie together.  What they share with a node's path is counted
+   once for all sets below it, and a set leaves a subtree as soon as its overlap
+   so far and the elements that remain can't reach the bound of any set there.
    First some classes of a group are anchors of the others: its hub, and those
-   that come first by each of ``ANCHORS`` - 1 hashes. The links found give components, and another round of
+   that come first by each of ``ANCHORS`` - 1 hashes.  The links found give components, and another round of
    anchors follows between components.  Then all pairs of a group in different
    components follow, in tiles, but for those decided already.
 4. Components over all links.
@@ -29,9 +30,9 @@ no component.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,28 +41,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import pieces, sized, table
+from .shared import eights, give_back, lean, pieces, scratch, sized, stir, table
 
 SHINGLE = 5
 #: Similarity of linked sets, in per cent.
 PERCENT = 75
-SLICE = 2 << 20
+#: Bytes a worker looks at together.
+SLICE = 1 << 19
 #: Shingles a task counts at a time, how often one must come up there to be called common, and how many are called so at most (8 MB).
-BLOCK, COMMON, MOST_COMMON = 1 << 22, 8, 1 << 20
-#: Prefix elements dealt to a task, about; sets in a trie; classes of a group in a tile.
-DEAL, LEAVES, TILE = 1 << 19, 128, 512
+BLOCK, COMMON, MOST_COMMON = 1 << 20, 8, 1 << 20
+#: Prefix elements dealt to a task, about; sets in a trie; classes of a group in a tile, and in a task's tiles, about.
+DEAL, LEAVES, TILE, TILES = 1 << 18, 128, 512, 4096
+#: Bytes of sets that one set meets in a shard, and that a task's shards hold together, about.
+SHARD, TASK = 1 << 20, 4 << 20
+#: Sets that go down a trie together.
+PROBES = 256
 #: Anchors of a group in a round, and rounds, before all pairs that are left.
 ANCHORS, ROUNDS = 4, 2
 #: Groups from this size on are merged if the same class stands out in them.
 LARGE = 64
 
 _U = np.uint64
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _COMMON_BIT = _U(1) << _U(63)
+#: What is left of eight bytes when only the first n count.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
+#: Longer words are named by BLAKE2.
+_LONG = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -72,30 +80,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mixed((np.arange(1, 257, dtype=np.uint64) * _U(_BASE)))
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
-    power = lambda base: np.concatenate([np.ones(1, _U), np.cumprod(np.full(n, base, _U))])
-    return power(_BASE), power(inverse)
-
-
-def _words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of every word of a byte array."""
-    space = np.concatenate([[True], _SPACE[b], [True]])
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every word; a hash takes in eight bytes at a time and is stirred after each, so it isn't linear in them."""
+    data = data.lower()  # of bytes: A to Z alone
+    space = np.concatenate([[True], _SPACE[np.frombuffer(data, np.uint8)], [True]])
     starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-    power, inverse = _powers(1 << max(16, int(len(b)).bit_length()))
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[_LOWER[b]] * power[: len(b)])])
-    return starts, mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U))
+    eight, left = eights(data), ends - starts
+    h = stir(left.astype(_U) * _U(_BASE))
+    word, at = np.arange(len(starts)), starts
+    for _ in range(_LONG // 8):
+        if not len(word):
+            break
+        h[word] = stir(h[word] ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+        on = left > 8
+        word, at, left = word[on], at[on] + 8, left[on] - 8
+    for i in word.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return starts, h
 
 
 def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of every word, A-Z lower-cased; long data in parts cut at white space."""
+    if len(data) <= 2 * SLICE:
+        return _words(data)
     b = np.frombuffer(data, np.uint8)
-    if len(b) <= 2 * SLICE:
-        return _words(b)
     out, at = [], 0
     while at < len(b):
         stop = min(len(b), at + SLICE)
@@ -105,7 +113,7 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
                 stop += int(gap[0])
                 break
             stop = min(len(b), stop + SLICE)
-        s, h = _words(b[at:stop])
+        s, h = _words(data[at:stop])
         out.append((s + at, h))
         at = stop
     return np.concatenate([s for s, _ in out]), np.concatenate([h for _, h in out])
@@ -169,12 +177,16 @@ def folded(bitmaps: np.ndarray, size: int) -> np.ndarray:
     return bitmaps
 
 
+def most_apart(both):
+    """In how many elements two linked sets of ``both`` elements together may differ."""
+    return both - 2 * -(-PERCENT * both // (100 + PERCENT))
+
+
 def may_link(one: np.ndarray, others: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
     """Which of the ``others`` (bitmaps of one length, and their sets' sizes) may be linked with a set of n elements."""
     size = min(one.shape[-1], others.shape[-1])
     differ = np.bitwise_count(folded(others, size) ^ folded(one, size)).sum(1)
-    both = n + sizes
-    return differ <= both - 2 * -(-PERCENT * both // (100 + PERCENT))
+    return differ <= most_apart(n + sizes)
 
 
 def _slices(batch, name):
@@ -188,6 +200,7 @@ def survey(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", "k", "n", "cls", "bits", "common"]
 
+    @lean
     def run(batches):
         block, held = [], 0
 
@@ -219,8 +232,14 @@ def common_shingles(surveyed: DataFrame) -> np.ndarray:
 
 
 def groups(docs: DataFrame, common, deals: int) -> DataFrame:
-    """(sig, cls): classes that share an element of their prefixes; groups of the same classes are taken once."""
+    """(sig, cls): classes that share an element of their prefixes; groups of the same classes are taken once.
+
+    Rare elements are dealt out in blocks of bytes and meet in tasks by hash.  A
+    common one may be in the prefix of any number of classes (those of common
+    elements alone), so such rows are aggregated by Spark and never meet.
+    """
 
+    @lean
     def deal(batches):
         for batch in batches:
             for _, _, texts in _slices(batch, "text"):
@@ -233,16 +252,28 @@ def groups(docs: DataFrame, common, deals: int) -> DataFrame:
                 if not tokens:
                     continue
                 token, owner = np.concatenate(tokens), np.concatenate(cls)
+                often = token >= _COMMON_BIT
+                n = int(often.sum())
+                none = lambda n, kind: pa.nulls(n, kind)
+                names = ["deal", "tokens", "owners", "token", "cls"]
+                if n:
+                    yield pa.RecordBatch.from_arrays([none(n, pa.int64()), none(n, pa.binary()), none(n, pa.binary()), pa.array(token[often].view(np.int64)), pa.array(owner[often])], names)
+                token, owner = token[~often], owner[~often]
+                if not len(token):
+                    continue
                 to = (mixed(token) % _U(deals)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 token, owner, to = token[order], owner[order], to[order]
                 cut = np.flatnonzero(np.diff(to, prepend=-1))
                 ends = [*cut[1:].tolist(), len(to)]
-                yield pa.RecordBatch.from_arrays([pa.array(to[cut]), pa.array([token[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())], ["deal", "tokens", "owners"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to[cut]), pa.array([token[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), none(len(cut), pa.int64()), none(len(cut), pa.int64())], names
+                )
 
     def meet(key, frame):
         token = np.concatenate([np.frombuffer(x, _U) for x in frame["tokens"]])
         owner = np.concatenate([np.frombuffer(x, np.int64) for x in frame["owners"]])
+        del frame
         order = np.argsort(token, kind="stable")
         order = order[np.isin(token[order], _repeated(token[order]), assume_unique=False)] if len(order) else order
         token, owner = token[order], owner[order]
@@ -258,10 +289,16 @@ def groups(docs: DataFrame, common, deals: int) -> DataFrame:
         _, keep = np.unique(sig, return_index=True)
         keep = keep[size[keep] > 1]
         rows = np.concatenate([np.arange(at[k], at[k] + size[k]) for k in keep]) if len(keep) else np.empty(0, int)
-        return pd.DataFrame({"sig": np.repeat(sig[keep], size[keep]), "cls": owner[rows]})
+        out = pd.DataFrame({"sig": np.repeat(sig[keep], size[keep]), "cls": owner[rows]})
+        give_back()
+        return out
 
-    dealt = docs.select("text").mapInArrow(deal, "deal long, tokens binary, owners binary")
-    return dealt.groupBy("deal").applyInPandas(meet, "sig long, cls long").dropDuplicates(["sig", "cls"])
+    dealt = docs.select("text").mapInArrow(deal, "deal long, tokens binary, owners binary, token long, cls long")
+    dealt = table(dealt, "join-dealt")
+    rare = dealt.where("deal is not null").groupBy("deal").applyInPandas(meet, "sig long, cls long")
+    often = dealt.where("token is not null").select("token", "cls").distinct()
+    several = often.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token", F.xxhash64("token").alias("sig"))
+    return rare.dropDuplicates(["sig", "cls"]).unionByName(often.join(several, "token").select("sig", "cls"))
 
 
 def _repeated(sorted_tokens: np.ndarray) -> np.ndarray:
@@ -284,7 +321,7 @@ def build(members: list[np.ndarray]) -> Node:
     """A trie of sets in the global order; ``ends`` holds their positions in ``members``."""
     root = Node(np.empty(0, _U), 0)
     path, last = [root], np.empty(0, _U)
-    for i in sorted(range(len(members)), key=lambda i: members[i].tolist()):
+    for i in sorted(range(len(members)), key=lambda i: members[i].astype(">u8").tobytes()):
         s = members[i]
         n = min(len(s), len(last))
         differ = np.flatnonzero(s[:n] != last[:n])
@@ -315,56 +352,81 @@ def build(members: list[np.ndarray]) -> Node:
     return root
 
 
-def probe(root: Node, a: np.ndarray) -> list[int]:
-    """Positions of the trie's sets that are linked with set ``a``."""
-    out, n = [], len(a)
-    stack = [(root, 0)]
+def probe(root: Node, sets_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): set i of ``sets_`` is linked with the trie's set j.  All sets go down together; every path is walked once."""
+    n = np.array([len(s) for s in sets_])
+    owner = np.repeat(np.arange(len(n)), n)
+    token = np.concatenate(sets_)
+    known = np.unique(token)
+    # elements by set and rank, to say how many a set has up to an element; and by element, to say who has it
+    ranked = owner * (len(known) + 1) + np.searchsorted(known, token)
+    begin = np.cumsum(n) - n
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    found: list[tuple[np.ndarray, int]] = []
+    stack = [(root, np.arange(len(n)), np.zeros(len(n), np.int64))]
     while stack:
-        node, overlap = stack.pop()
+        node, who, overlap = stack.pop()
         depth, edge = node.depth - len(node.edge), node.edge
-        need = needed(n, node.shortest)
         for at in range(0, len(edge), 64):  # long edges in steps, to leave early
             part = edge[at : at + 64]
-            place = np.searchsorted(a, part)
-            overlap += int((a[np.minimum(place, n - 1)] == part).sum())
+            low, high = np.searchsorted(token, part), np.searchsorted(token, part, "right")
+            some = high > low
+            low, many = low[some], (high - low)[some]
+            hits = owner[np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many)]
+            overlap = overlap + np.bincount(hits, minlength=len(n))[who]
             depth += len(part)
-            if overlap + min(node.longest - depth, n - int(np.searchsorted(a, part[-1], side="right"))) < need:
+            gone = np.searchsorted(ranked, who * (len(known) + 1) + np.searchsorted(known, part[-1], "right")) - begin[who]
+            on = overlap + np.minimum(node.longest - depth, n[who] - gone) >= needed(n[who], node.shortest)
+            who, overlap = who[on], overlap[on]
+            if not len(who):
                 break
-        else:
-            out += [i for i in node.ends if overlap >= needed(n, node.depth)]
-            stack += [(c, overlap) for c in node.children]
-    return out
-
-
-def verified(pairs: DataFrame, members: DataFrame, n_pairs: int, set_bytes: int) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b), by tries of the sets in ``members`` (cls, tokens).
-
-    Each trie holds the sets of up to about LEAVES of an anchor's partners, and
-    several anchors go to a task: the most they hold together is bounded.
+        if len(who):
+            linked = who[overlap >= needed(n[who], node.depth)] if node.ends else who[:0]
+            found += [(linked, j) for j in node.ends if len(linked)]
+            stack += [(c, who, overlap) for c in node.children]
+    i = np.concatenate([np.empty(0, np.int64), *(who for who, _ in found)])
+    return i, np.repeat([j for _, j in found], [len(who) for who, _ in found]).astype(np.int64)
+
+
+def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The linked pairs (a, b) among the candidates ``pairs`` (a, b, probe, weight), by tries of the sets in ``members`` (cls, tokens).
+
+    probe is the one of a pair that goes down the trie which holds the other, of
+    weight elements.  A probe's partners are dealt to shards of about SHARD
+    bytes, shards to tasks of about TASK bytes, so that no task holds more than
+    a few of them, or one very long set.  Links that weren't candidates may be
+    found as well.
     """
-    if not n_pairs:
-        return pairs
-    # how many tries an anchor's partners need
-    count = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEAVES).alias("tries"))
-    tasks = max(1, math.ceil(n_pairs * set_bytes / (4 << 20)))
-    dealt = pairs.join(count, "a").withColumn("trie", F.pmod(F.xxhash64("b"), F.col("tries"))).drop("tries")
-    anchors = count.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tries") - 1)).alias("trie")).withColumn("b", F.col("a"))
-    rows = anchors.select("a", "b", "trie").unionByName(dealt.select("a", "b", "trie"))
-    rows = rows.withColumnRenamed("b", "cls").join(members, "cls").select(F.pmod(F.xxhash64("a", "trie"), F.lit(tasks)).alias("task"), "a", "trie", "cls", "tokens")
+    pairs = pairs.withColumn("other", F.when(F.col("probe") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+    count = pairs.groupBy("probe").agg(F.ceil(F.sum("weight") * 8 / SHARD).alias("shards"))
+    total = pairs.agg(F.sum("weight")).first()[0] or 0
+    tasks = max(1, math.ceil(total * 8 / TASK))
+    task = F.pmod(F.xxhash64("probe", F.pmod(F.xxhash64("other"), F.col("shards"))), F.lit(tasks)).alias("task")
+    dealt = pairs.join(count, "probe").select(task, "probe", "other")
+    rows = dealt.select("task", F.explode(F.array(F.struct(F.col("probe").alias("cls"), F.lit(True).alias("down")), F.struct(F.col("other").alias("cls"), F.lit(False).alias("down")))).alias("x"))
+    rows = rows.select("task", "x.cls", "x.down").groupBy("task", "cls").agg(F.max("down").alias("down"), F.max(~F.col("down")).alias("held")).join(members, "cls").select("task", "cls", "down", "held", "tokens")
 
     def run(key, frame):
-        found = []
-        for _, part in frame.groupby(["a", "trie"], sort=False):
-            a = int(part["a"].iloc[0])
-            sets_ = {int(c): np.frombuffer(t, _U) for c, t in zip(part["cls"], part["tokens"])}
-            if a not in sets_:
-                continue
-            own = sets_.pop(a)
-            names = sorted(sets_)
-            found += [(a, names[i]) for i in probe(build([sets_[c] for c in names]), own)]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        names, sets_ = frame["cls"].to_numpy(), [np.frombuffer(t, _U) for t in frame["tokens"]]
+        held = sorted(np.flatnonzero(frame["held"]).tolist(), key=lambda i: sets_[i].astype(">u8").tobytes())
+        down = np.flatnonzero(frame["down"])
+        down = down[np.argsort([len(sets_[i]) for i in down], kind="stable")]
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at in range(0, len(held), LEAVES):
+            own = np.array(held[at : at + LEAVES])
+            root = build([sets_[i] for i in own])
+            for on in range(0, len(down), PROBES):
+                i, j = probe(root, [sets_[i] for i in down[on : on + PROBES]])
+                a.append(names[down[on + i]])
+                b.append(names[own[j]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+        del sets_, frame
+        give_back()
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
-    return rows.groupBy("task").applyInPandas(run, "a long, b long")
+    return rows.groupBy("task").applyInPandas(run, "a long, b long").distinct()
 
 
 def merged(group: DataFrame, left: DataFrame) -> DataFrame:
@@ -383,21 +445,27 @@ def merged(group: DataFrame, left: DataFrame) -> DataFrame:
 
 
 def allowed(pairs: DataFrame, left: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and bitmaps, in ``left`` (cls, n, bits), allow a link."""
+    """The pairs (a, b, probe) whose sizes and bitmaps, in ``left`` (cls, n, bits), allow a link, with the weight of the other."""
     for side in "ab":
         pairs = pairs.join(left.select(F.col("cls").alias(side), F.col("n").alias("n" + side), F.col("bits").alias("bits" + side)), side)
     pairs = pairs.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
 
     def run(frames):
         for f in frames:
-            keep = [bool(may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)[None], m, np.array([n]))[0]) for x, y, m, n in zip(f["bitsa"], f["bitsb"], f["na"], f["nb"])]
-            yield f.loc[keep, ["a", "b"]]
+            keep, both = np.zeros(len(f), bool), (f["na"] + f["nb"]).to_numpy()
+            sizes = np.stack([f["bitsa"].map(len), f["bitsb"].map(len)], 1)
+            for m, n in np.unique(sizes, axis=0).tolist():
+                own = np.flatnonzero((sizes == (m, n)).all(1))
+                x, y = (np.frombuffer(b"".join(f[c].iloc[own]), np.uint8).reshape(len(own), -1) for c in ("bitsa", "bitsb"))
+                differ = np.bitwise_count(folded(x, min(m, n)) ^ folded(y, min(m, n))).sum(1)
+                keep[own] = differ <= most_apart(both[own])
+            yield f.loc[keep, ["a", "b", "probe"]].assign(weight=np.where(f["probe"] == f["a"], f["nb"], f["na"])[keep])
 
-    return pairs.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInPandas(run, "a long, b long")
+    return pairs.select("a", "b", "probe", "na", "nb", "bitsa", "bitsb").mapInPandas(lean(run), "a long, b long, probe long, weight long")
 
 
 def anchored(group: DataFrame, comp: DataFrame | None, step: int) -> DataFrame:
-    """Pairs (a, b), a < b, of each group's anchors of this round with its other classes in other components."""
+    """Pairs (a, b, probe), a < b, of each group's anchors (probe) of this round with its other classes in other components."""
     order = [(F.col("cls") != F.col("hub")).cast("long"), *(F.xxhash64("cls", F.lit(step * ANCHORS + i)) for i in range(1, ANCHORS))]
     rows = group
     if comp is None:
@@ -410,11 +478,12 @@ def anchored(group: DataFrame, comp: DataFrame | None, step: int) -> DataFrame:
     # between two anchors a pair comes up once
     other = F.filter("firsts", lambda x: (x["root"] != F.col("root")) & ((x["cls"] < F.col("cls")) | ~F.exists("firsts", lambda y: y["cls"] == F.col("cls"))))
     pairs = rows.join(firsts, "sig").select("cls", F.explode(other).alias("first"))
-    return pairs.select(F.least("cls", "first.cls").alias("a"), F.greatest("cls", "first.cls").alias("b")).distinct()
+    pairs = pairs.select(F.least("cls", "first.cls").alias("a"), F.greatest("cls", "first.cls").alias("b"), F.col("first.cls").alias("probe"))
+    return pairs.groupBy("a", "b").agg(F.min("probe").alias("probe"))
 
 
 def crossing(group: DataFrame, comp: DataFrame, left: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes in a group but in different components whose sizes and bitmaps allow a link.
+    """Pairs (a, b, probe, weight) of classes in a group but in different components whose sizes and bitmaps allow a link.
 
     Groups of one component fall away by aggregation; the others are dealt out
     in tiles of two blocks of about TILE classes, so none is in one task.
@@ -422,10 +491,12 @@ def crossing(group: DataFrame, comp: DataFrame, left: DataFrame) -> DataFrame:
     rows = group.join(comp, group["cls"] == comp["node"], "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
     several = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks")).where("lo <> hi").select("sig", "blocks")
     rows = rows.join(several, "sig").join(left, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = table(rows, "join-crossing")
+    tasks = max(1, math.ceil(rows.count() / TILES))
     tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("sig", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "root", "n", "bits")
     # several small tiles to a task
-    tiles = tiles.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("sig"), F.lit(512))).otherwise(F.xxhash64("sig", "i", "j")))
+    tiles = tiles.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("sig"), F.lit(tasks))).otherwise(F.xxhash64("sig", "i", "j")))
 
     def run(key, frame):
         out = [np.empty((0, 2), np.int64)]
@@ -450,9 +521,12 @@ def crossing(group: DataFrame, comp: DataFrame, left: DataFrame) -> DataFrame:
                         some = some[may_link(maps[x], by[b][place[some]], n[x], n[some])]
                         out.append(np.stack([np.minimum(cls[x], cls[some]), np.maximum(cls[x], cls[some])], 1))
         both = np.unique(np.concatenate(out), axis=0)
+        del frame
+        give_back()
         return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
-    return tiles.drop("blocks").groupBy("task").applyInPandas(run, "a long, b long").distinct()
+    pairs = tiles.drop("blocks").groupBy("task").applyInPandas(run, "a long, b long").distinct()
+    return pairs.join(left.select(F.col("cls").alias("b"), F.col("n").alias("weight")), "b").select("a", "b", F.col("a").alias("probe"), "weight")
 
 
 def components_of(docs: DataFrame) -> DataFrame:
@@ -463,65 +537,64 @@ def components_of(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text")
-    surveyed = table(survey(docs), "join-survey")
-    own = surveyed.where("common is null").select("doc_id", "k", "n", "cls")
-    common = spark.sparkContext.broadcast(common_shingles(surveyed))
-    total = own.agg(F.sum("n")).first()[0] or 0
-    group = table(groups(docs, common, max(1, math.ceil(total * (100 - PERCENT) / 100 / DEAL))), "join-groups")
-    # the classes that are left, and one document of each to read its set from
-    classes = surveyed.where("common is null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bits").alias("bits"))
-    classes = table(classes, "join-classes")
-    left = table(classes.join(group.select("cls").distinct(), "cls", "left_semi"), "join-left")
-    group = table(merged(group, left), "join-merged")
-
-    def collect(batches):
-        for batch in batches:
-            for _, _, some in _slices(batch, "text"):
-                got = {class_of(s): ordered(s, common.value) for s in sets(some) if len(s)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([s.tobytes() for s in got.values()], pa.binary())], ["cls", "tokens"])
-
-    held: list[DataFrame] = []  # sets read so far
-
-    def links(pairs: DataFrame, n_pairs: int) -> DataFrame:
-        """The linked ones of a scratch table of candidates; reads the sets of their classes, each once."""
-        named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        own = left.join(named, "cls", "left_semi").select("cls", "doc_id", "n")
-        for h in held:
-            own = own.join(h.select("cls"), "cls", "left_anti")
-        own = table(own, "join-wanted")
-        n_own, in_all = own.agg(F.count(F.lit(1)), F.sum("n")).first()
-        if n_own:
-            wanted = sized(own.select(F.col("doc_id").alias("_doc")).distinct(), 16, n_own)
-            texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("text")
-            found = texts.mapInArrow(collect, "cls long, tokens binary").join(sized(own.select("cls"), 16, n_own), "cls", "left_semi")
-            held.append(table(found.groupBy("cls").agg(F.first("tokens").alias("tokens")), "join-members"))
-            weights.append(8 * in_all / n_own)
-        members = held[0]
-        for h in held[1:]:
-            members = members.unionByName(h)
-        return table(verified(pairs, members, n_pairs, max(64, int(max(weights)))), "join-links")
-
-    weights: list[float] = []
-    tried = linked = comp = None
-    for step in range(ROUNDS + 1):
-        if step < ROUNDS:
-            pairs = allowed(anchored(group, comp, step), left)
-        else:
-            pairs = crossing(group, comp, left.select("cls", "n", "bits"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = table(pairs, "join-pairs")
-        n = pairs.count()
-        if n:
-            found = links(pairs, n)
-            linked = found if linked is None else linked.unionByName(found)
-            tried = pairs if tried is None else tried.unionByName(pairs)
-        if n or comp is None:
-            comp = table(components(linked if linked is not None else pairs), "join-components")
-
-    rooted = classes.select("cls", F.col("doc_id").alias("least")).join(comp, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = table(rooted.join(roots, "root").select(F.col("cls").alias("_cls"), "root", "component_id"), "join-named")
+    with scratch(spark):
+        surveyed = table(survey(docs), "join-survey", keep=True)
+        own = surveyed.where("common is null").select("doc_id", "k", "n", "cls")
+        common = spark.sparkContext.broadcast(common_shingles(surveyed))
+        total = own.agg(F.sum("n")).first()[0] or 0
+        group = table(groups(docs, common, max(1, math.ceil(total * (100 - PERCENT) / 100 / DEAL))), "join-groups")
+        # the classes that are left, and one document of each to read its set from
+        classes = surveyed.where("common is null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bits").alias("bits"))
+        classes = table(classes, "join-classes")
+        left = table(classes.join(group.select("cls").distinct(), "cls", "left_semi"), "join-left")
+        group = table(merged(group, left), "join-merged")
+
+        @lean
+        def collect(batches):
+            for batch in batches:
+                for _, _, some in _slices(batch, "text"):
+                    got = {class_of(s): ordered(s, common.value) for s in sets(some) if len(s)}
+                    yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([s.tobytes() for s in got.values()], pa.binary())], ["cls", "tokens"])
+
+        held: list[DataFrame] = []  # sets read so far
+
+        def links(pairs: DataFrame) -> DataFrame:
+            """The linked ones of a scratch table of candidates; reads the sets of their classes, each once."""
+            named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+            own = left.join(named, "cls", "left_semi").select("cls", "doc_id", "n")
+            for h in held:
+                own = own.join(h.select("cls"), "cls", "left_anti")
+            own = table(own, "join-wanted")
+            if n_own := own.count():
+                wanted = sized(own.select(F.col("doc_id").alias("_doc")).distinct(), 16, n_own)
+                texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("text")
+                found = texts.mapInArrow(collect, "cls long, tokens binary").join(sized(own.select("cls"), 16, n_own), "cls", "left_semi")
+                held.append(table(found.groupBy("cls").agg(F.first("tokens").alias("tokens")), "join-members"))
+            members = held[0]
+            for h in held[1:]:
+                members = members.unionByName(h)
+            return table(verified(pairs, members), "join-links")
+
+        tried = linked = comp = None
+        for step in range(ROUNDS + 1):
+            if step < ROUNDS:
+                pairs = allowed(anchored(group, comp, step), left)
+            else:
+                pairs = crossing(group, comp, left.select("cls", "n", "bits"))
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = table(pairs, "join-pairs")
+            n = pairs.count()
+            if n:
+                found = links(pairs)
+                linked = found if linked is None else linked.unionByName(found)
+                tried = pairs if tried is None else tried.unionByName(pairs)
+            if n or comp is None:
+                comp = table(components(linked if linked is not None else pairs), "join-components")
+
+        rooted = classes.select("cls", F.col("doc_id").alias("least")).join(comp, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+        roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = table(rooted.join(roots, "root").select(F.col("cls").alias("_cls"), "root", "component_id"), "join-named", keep=True)
     out = own.join(named, (F.col("cls") == F.col("_cls")) & (F.col("n") > 0), "left")
     return out.select("doc_id", "k", "n", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

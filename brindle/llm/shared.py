@@ -7,6 +7,8 @@ import ctypes
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 import numpy as np
@@ -43,22 +45,46 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/brindle/{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
+#: Paths of the tables made in the ``scratch`` blocks that are open, innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
+
+
+def table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    ``keep``: the innermost ``scratch`` block leaves it to the next one outside.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if blocks := _OPEN.get()[: -1 if keep else None]:
+        blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
-    """Remove the files of scratch tables that no later step reads."""
+@contextmanager
+def scratch(spark: SparkSession):
+    """Scratch tables made in the block are removed at its end, but for those to keep: what is returned mustn't read them."""
+    own: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), own))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        remove(spark, own)
+
+
+def remove(spark: SparkSession, paths) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for df in frames:
-        for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(conf).delete(path, True)
+    for x in paths:
+        path = jvm.org.apache.hadoop.fs.Path(x)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
+    """Remove the files of scratch tables that no later step reads."""
+    remove(spark, {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()})
 
 
 def sized(small: DataFrame, bytes_per_row: int, rows: int | None = None) -> DataFrame:

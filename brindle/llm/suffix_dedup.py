@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import drop_tables, eights, give_back, joined, lean, pieces, sized, stir, table
+from .shared import drop_tables, eights, give_back, joined, lean, pieces, scratch, sized, stir, table
 
 LENGTH = 400
 GRAM, WINDOW = 64, 160
@@ -255,7 +255,7 @@ def repeated(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     rest = rest.join(members, "cls")
     listed = lambda rows: table(rows.groupBy("k").agg(F.collect_list(F.struct("pos", "group", "cls")).alias("list")), "suffix-lists")
     few, many = listed(rest.where(F.col("members") <= HOT)), listed(rest.where(F.col("members") > HOT))
-    n_few, n_many = (x.agg(F.sum(F.size("list"))).first()[0] or 0 for x in (few, many))
+    n_few = few.agg(F.sum(F.size("list"))).first()[0] or 0
     tasks = max(1, math.ceil(n_few * WINDOW / 2 / STARTS))
 
     def meet(key, frame):
@@ -277,7 +277,8 @@ def repeated(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
         return own
 
     spans = "k long, start long, stop long"
-    by_task = _open_starts(keyed, sized(few, 48, n_few), length).withColumn("task", F.pmod(F.xxhash64("cls"), F.lit(tasks)))
+    # lists grow with the texts, too: joined alike at every size
+    by_task = _open_starts(keyed, few, length).withColumn("task", F.pmod(F.xxhash64("cls"), F.lit(tasks)))
     exact = by_task.groupBy("task").applyInPandas(meet, spans)
 
     def listing(frames):
@@ -287,7 +288,7 @@ def repeated(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
                 row, start, rank = ranks(part, length)
                 yield pd.DataFrame({"k": part["k"].to_numpy()[row], "start": start, "rank": rank.view(np.int64)}, dtype="int64")
 
-    single = table(_open_starts(keyed, sized(many, 48, n_many), length).mapInPandas(lean(listing), "k long, start long, rank long"), "suffix-starts")
+    single = table(_open_starts(keyed, many, length).mapInPandas(lean(listing), "k long, start long, rank long"), "suffix-starts")
     hot = _tied(single, "suffix-common").select("k", "start", (F.col("start") + length).alias("stop"))
     return covered.unionByName(exact).unionByName(hot)
 
@@ -306,13 +307,14 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     # tells rows apart, but for equal ones
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("k"), text.alias("text"))
-    again = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text").cast("long")).alias("stop")).where("n > 1")
-    again, once = table(again.select("k", "stop"), "suffix-again"), keyed
-    if again.head(1):
-        marks = sized(again.drop("stop"), 32)
-        once = keyed.join(marks, "k", "left_anti").unionByName(keyed.join(marks, "k", "left_semi").select(keyed.columns).dropDuplicates(["k"]))
-    found = repeated(once, length).unionByName(again.where(F.col("stop") >= length).select("k", F.lit(0).cast("long").alias("start"), "stop"))
-    spans = table(found.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans")
+    with scratch(keyed.sparkSession):
+        again = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text").cast("long")).alias("stop")).where("n > 1")
+        again, once = table(again.select("k", "stop"), "suffix-again"), keyed
+        if again.head(1):
+            marks = sized(again.drop("stop"), 32)
+            once = keyed.join(marks, "k", "left_anti").unionByName(keyed.join(marks, "k", "left_semi").select(keyed.columns).dropDuplicates(["k"]))
+        found = repeated(once, length).unionByName(again.where(F.col("stop") >= length).select("k", F.lit(0).cast("long").alias("start"), "stop"))
+        spans = table(found.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans", keep=True)
     # spans grow with the texts: no hint, so the plan is the same at any size that matters
     paired = keyed.join(spans, "k", "left").select("doc_id", "text", "spans")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))

@@ -225,8 +225,10 @@ def test_trie_probe_brute_force():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64))
     members = [np.sort(np.unique(np.concatenate([rng.permutation(base)[: int(rng.integers(30, 60))], rng.integers(0, 1 << 62, int(rng.integers(0, 20))).astype(np.uint64)]))) for _ in range(80)] + [base, base]
-    found = set(ngram_join.probe(ngram_join.build(members), base))
-    assert found == {i for i, m in enumerate(members) if 100 * len(np.intersect1d(m, base)) >= 75 * len(np.union1d(m, base))}
+    for leaves in (members, members[:1]):
+        i, j = ngram_join.probe(ngram_join.build(leaves), [base, *members[:40]])
+        linked = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))
+        assert sorted(zip(i.tolist(), j.tolist())) == [(x, y) for x, a in enumerate([base, *members[:40]]) for y, b in enumerate(leaves) if linked(a, b)]
     for m in members:
         one = np.frombuffer(ngram_join.parities(m), np.uint8)
         other = np.frombuffer(ngram_join.parities(base), np.uint8)
@@ -234,6 +236,19 @@ def test_trie_probe_brute_force():
             assert ngram_join.may_link(one, other[None], len(m), np.array([len(base)]))[0]
 
 
+def test_regular_words_do_not_collide():
+    """Thue-Morse words and their complements, of any length, and the same as strings of op 9."""
+    for a, b in ((b"a", b"b"), (b"x", b"q"), (b"0", b"1")):
+        one, other = a, b
+        for _ in range(11):
+            one, other = one + other, other + one
+            assert len(set(ngram_join.words(one + b" " + other)[1].tolist())) == 2
+            if len(one) >= suffix_dedup.GRAM:
+                h = [int(suffix_dedup.names(suffix_dedup.grams(x), np.array([0]), len(x))[0]) for x in (one, other)]
+                assert h[0] != h[1]
+    assert len(set(ngram_join.words(b"a\0 a A b" + b" " + b"z" * 300 + b" " + b"z" * 301)[1].tolist())) == 5
+
+
 def test_words_in_parts(monkeypatch):
     data = ("ab  cd\n" * 1000 + "x" * 900).encode()
     whole = ngram_join.words(data)
