@@ -236,7 +236,8 @@ def groups(docs: DataFrame, common, deals: int) -> DataFrame:
 
     Rare elements are dealt out in blocks of bytes and meet in tasks by hash.  A
     common one may be in the prefix of any number of classes (those of common
-    elements alone), so such rows are aggregated by Spark and never meet.
+    elements alone), so its owners are dealt out by their own hashes, too, and
+    come out as rows, which Spark aggregates.  Groups of one may come with them.
     """
 
     @lean
@@ -252,28 +253,21 @@ def groups(docs: DataFrame, common, deals: int) -> DataFrame:
                 if not tokens:
                     continue
                 token, owner = np.concatenate(tokens), np.concatenate(cls)
-                often = token >= _COMMON_BIT
-                n = int(often.sum())
-                none = lambda n, kind: pa.nulls(n, kind)
-                names = ["deal", "tokens", "owners", "token", "cls"]
-                if n:
-                    yield pa.RecordBatch.from_arrays([none(n, pa.int64()), none(n, pa.binary()), none(n, pa.binary()), pa.array(token[often].view(np.int64)), pa.array(owner[often])], names)
-                token, owner = token[~often], owner[~often]
-                if not len(token):
-                    continue
-                to = (mixed(token) % _U(deals)).astype(np.int64)
+                to = mixed(np.where(token < _COMMON_BIT, token, token ^ mixed(owner.view(_U))))
+                to = (to % _U(deals)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 token, owner, to = token[order], owner[order], to[order]
                 cut = np.flatnonzero(np.diff(to, prepend=-1))
                 ends = [*cut[1:].tolist(), len(to)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[cut]), pa.array([token[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), none(len(cut), pa.int64()), none(len(cut), pa.int64())], names
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(to[cut]), pa.array([token[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())], ["deal", "tokens", "owners"])
 
     def meet(key, frame):
         token = np.concatenate([np.frombuffer(x, _U) for x in frame["tokens"]])
         owner = np.concatenate([np.frombuffer(x, np.int64) for x in frame["owners"]])
         del frame
+        often = token >= _COMMON_BIT
+        apart = pd.DataFrame({"sig": mixed(token[often]).view(np.int64), "cls": owner[often]}).drop_duplicates()
+        token, owner = token[~often], owner[~often]
         order = np.argsort(token, kind="stable")
         order = order[np.isin(token[order], _repeated(token[order]), assume_unique=False)] if len(order) else order
         token, owner = token[order], owner[order]
@@ -289,16 +283,12 @@ def groups(docs: DataFrame, common, deals: int) -> DataFrame:
         _, keep = np.unique(sig, return_index=True)
         keep = keep[size[keep] > 1]
         rows = np.concatenate([np.arange(at[k], at[k] + size[k]) for k in keep]) if len(keep) else np.empty(0, int)
-        out = pd.DataFrame({"sig": np.repeat(sig[keep], size[keep]), "cls": owner[rows]})
+        out = pd.concat([pd.DataFrame({"sig": np.repeat(sig[keep], size[keep]), "cls": owner[rows]}), apart])
         give_back()
         return out
 
-    dealt = docs.select("text").mapInArrow(deal, "deal long, tokens binary, owners binary, token long, cls long")
-    dealt = table(dealt, "join-dealt")
-    rare = dealt.where("deal is not null").groupBy("deal").applyInPandas(meet, "sig long, cls long")
-    often = dealt.where("token is not null").select("token", "cls").distinct()
-    several = often.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token", F.xxhash64("token").alias("sig"))
-    return rare.dropDuplicates(["sig", "cls"]).unionByName(often.join(several, "token").select("sig", "cls"))
+    dealt = docs.select("text").mapInArrow(deal, "deal long, tokens binary, owners binary")
+    return dealt.groupBy("deal").applyInPandas(meet, "sig long, cls long").dropDuplicates(["sig", "cls"])
 
 
 def _repeated(sorted_tokens: np.ndarray) -> np.ndarray:
@@ -389,14 +379,29 @@ def probe(root: Node, sets_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return i, np.repeat([j for _, j in found], [len(who) for who, _ in found]).astype(np.int64)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """(smallest, other) for every other member of each component of links: as many as members, not as links."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    return [(find(x), x) for x in list(root) if find(x) != x]
+
+
 def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The linked pairs (a, b) among the candidates ``pairs`` (a, b, probe, weight), by tries of the sets in ``members`` (cls, tokens).
+    """Pairs (a, b) with the components of the links among the candidates ``pairs`` (a, b, probe, weight), by tries of the sets in ``members`` (cls, tokens).
 
     probe is the one of a pair that goes down the trie which holds the other, of
     weight elements.  A probe's partners are dealt to shards of about SHARD
     bytes, shards to tasks of about TASK bytes, so that no task holds more than
-    a few of them, or one very long set.  Links that weren't candidates may be
-    found as well.
+    a few of them, or one very long set.  A shard gives the ``stars`` of its
+    links, those included that weren't candidates.
     """
     pairs = pairs.withColumn("other", F.when(F.col("probe") == F.col("a"), F.col("b")).otherwise(F.col("a")))
     count = pairs.groupBy("probe").agg(F.ceil(F.sum("weight") * 8 / SHARD).alias("shards"))
@@ -420,17 +425,16 @@ def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
                 i, j = probe(root, [sets_[i] for i in down[on : on + PROBES]])
                 a.append(names[down[on + i]])
                 b.append(names[own[j]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+        out = pd.DataFrame(stars(np.concatenate(a), np.concatenate(b)), columns=["a", "b"], dtype="int64")
         del sets_, frame
         give_back()
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+        return out
 
     return rows.groupBy("task").applyInPandas(run, "a long, b long").distinct()
 
 
 def merged(group: DataFrame, left: DataFrame) -> DataFrame:
-    """(sig, cls, hub): the groups, large ones with the same hub made one.
+    """(sig, cls, n, hub): the groups of more than one, large ones with the same hub made one.
 
     A group's hub is the class that shares the largest part of its prefix with
     any other: edited copies are nearer to their original than to each other.
@@ -438,17 +442,17 @@ def merged(group: DataFrame, left: DataFrame) -> DataFrame:
     one group their pairs come up once.
     """
     shared = group.groupBy("cls").agg(F.count(F.lit(1)).alias("shared")).join(left.select("cls", "n"), "cls")
-    part = shared.select("cls", (F.col("shared") / (F.col("n") * (100 - PERCENT) / 100 + 1)).alias("part"))
-    hubs = group.join(part, "cls").groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("part", "cls")).alias("top"))
+    part = shared.select("cls", "n", (F.col("shared") / (F.col("n") * (100 - PERCENT) / 100 + 1)).alias("part"))
+    group = group.join(part, "cls")
+    hubs = group.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("part", "cls")).alias("top")).where("size > 1")
     hubs = hubs.select("sig", F.col("top.cls").alias("hub"), F.when(F.col("size") >= LARGE, F.xxhash64("top.cls")).otherwise(F.col("sig")).alias("to"))
-    return group.join(hubs, "sig").select(F.col("to").alias("sig"), "cls", "hub").distinct()
+    return group.join(hubs, "sig").select(F.col("to").alias("sig"), "cls", "n", "hub").distinct()
 
 
 def allowed(pairs: DataFrame, left: DataFrame) -> DataFrame:
-    """The pairs (a, b, probe) whose sizes and bitmaps, in ``left`` (cls, n, bits), allow a link, with the weight of the other."""
+    """The pairs (a, b, na, nb, probe) whose bitmaps, in ``left`` (cls, bits), allow a link, as (a, b, probe, weight): that of the other."""
     for side in "ab":
-        pairs = pairs.join(left.select(F.col("cls").alias(side), F.col("n").alias("n" + side), F.col("bits").alias("bits" + side)), side)
-    pairs = pairs.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+        pairs = pairs.join(left.select(F.col("cls").alias(side), F.col("bits").alias("bits" + side)), side)
 
     def run(frames):
         for f in frames:
@@ -465,21 +469,23 @@ def allowed(pairs: DataFrame, left: DataFrame) -> DataFrame:
 
 
 def anchored(group: DataFrame, comp: DataFrame | None, step: int) -> DataFrame:
-    """Pairs (a, b, probe), a < b, of each group's anchors (probe) of this round with its other classes in other components."""
+    """Pairs (a, b, na, nb, probe), a < b, of each group's anchors (probe) of this round with its other classes in other components, if their sizes na and nb allow a link."""
     order = [(F.col("cls") != F.col("hub")).cast("long"), *(F.xxhash64("cls", F.lit(step * ANCHORS + i)) for i in range(1, ANCHORS))]
     rows = group
     if comp is None:
         rows = rows.withColumn("root", F.col("cls"))
     else:
-        rows = rows.join(comp, rows["cls"] == comp["node"], "left").select("sig", "cls", "hub", F.coalesce("root", "cls").alias("root"))
+        rows = rows.join(comp, rows["cls"] == comp["node"], "left").select("sig", "cls", "n", "hub", F.coalesce("root", "cls").alias("root"))
         several = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
         rows = rows.join(several, "sig", "left_semi")
-    firsts = rows.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by(F.struct("cls", "root"), o) for o in order))).alias("firsts"))
+    firsts = rows.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by(F.struct("cls", "n", "root"), o) for o in order))).alias("firsts"))
     # between two anchors a pair comes up once
-    other = F.filter("firsts", lambda x: (x["root"] != F.col("root")) & ((x["cls"] < F.col("cls")) | ~F.exists("firsts", lambda y: y["cls"] == F.col("cls"))))
-    pairs = rows.join(firsts, "sig").select("cls", F.explode(other).alias("first"))
-    pairs = pairs.select(F.least("cls", "first.cls").alias("a"), F.greatest("cls", "first.cls").alias("b"), F.col("first.cls").alias("probe"))
-    return pairs.groupBy("a", "b").agg(F.min("probe").alias("probe"))
+    near = lambda m, n: 100 * F.least(m, n) >= PERCENT * F.greatest(m, n)
+    other = F.filter("firsts", lambda x: (x["root"] != F.col("root")) & near(x["n"], F.col("n")) & ((x["cls"] < F.col("cls")) | ~F.exists("firsts", lambda y: y["cls"] == F.col("cls"))))
+    pairs = rows.join(firsts, "sig").select("cls", "n", F.explode(other).alias("first"))
+    low = F.col("cls") < F.col("first.cls")
+    ends = (F.when(low, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("cls", "first.cls", "a"), ("first.cls", "cls", "b"), ("n", "first.n", "na"), ("first.n", "n", "nb")))
+    return pairs.select(*ends, F.col("first.cls").alias("probe")).groupBy("a", "b", "na", "nb").agg(F.min("probe").alias("probe"))
 
 
 def crossing(group: DataFrame, comp: DataFrame, left: DataFrame) -> DataFrame:
@@ -488,9 +494,9 @@ def crossing(group: DataFrame, comp: DataFrame, left: DataFrame) -> DataFrame:
     Groups of one component fall away by aggregation; the others are dealt out
     in tiles of two blocks of about TILE classes, so none is in one task.
     """
-    rows = group.join(comp, group["cls"] == comp["node"], "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
+    rows = group.join(comp, group["cls"] == comp["node"], "left").select("sig", "cls", "n", F.coalesce("root", "cls").alias("root"))
     several = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks")).where("lo <> hi").select("sig", "blocks")
-    rows = rows.join(several, "sig").join(left, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.join(several, "sig").join(left.select("cls", "bits"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = table(rows, "join-crossing")
     tasks = max(1, math.ceil(rows.count() / TILES))
     tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
