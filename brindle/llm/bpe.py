@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import pieces
+from .shared import lean, pieces
 
 #: Characters after which a long text is cut at the next safe boundary.
 CHUNK = 1 << 15
@@ -103,6 +103,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", out: str
     """
     schema, rest = _with(df, out, T.ArrayType(T.IntegerType()))
 
+    @lean
     def run(batches):
         own = codec(ranks, pattern)
         for batch in batches:
@@ -126,6 +127,7 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "token_ids", out:
     """
     schema, rest = _with(df, out, T.BinaryType())
 
+    @lean
     def run(batches):
         own = codec(ranks, pattern)
         for batch in batches:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import fresh, scratch, table
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 10
@@ -56,7 +56,9 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     source counts as one site; a null doc_id comes after all others (where all are null, the line goes from all).
     Rows that repeat in doc_id and text are treated alike, each keeping what
     one would.  Null text: stays null, no lines.  Empty text: stays, one line.
-    Columns named n_lines or n_removed are replaced, others pass through.
+    A text of any length is split whole, in time that grows with its lines.
+    Columns named n_lines or n_removed are replaced, others pass through,
+    whatever their names.  An empty table gives no rows.
     """
     text = F.col("text")
     site = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))
@@ -64,19 +66,25 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     line = trimmed(F.col("line"))
     rows = docs.select("doc_id", key.alias("k"), site.alias("site"), F.posexplode(lines_of(text)).alias("pos", "line"))
     rows = rows.where(line != "").select("doc_id", "k", "site", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
-    rows = table(rows, "lines")
-    found = table(spread(rows, min_sites), "lines-spread")
-    # AQE broadcasts the lines found if they are small and splits a hot line's rows otherwise
-    hits = rows.join(found, ["h1", "h2"])
-    stays = F.coalesce(F.col("doc_id") == F.col("first_doc"), F.lit(False))
-    hits = hits.groupBy("doc_id", "k", "h1", "h2", stays.alias("stays")).agg(F.min("pos").alias("first_pos"), F.collect_set("pos").alias("at"))
-    gone = F.when(F.col("stays"), F.array_remove(F.col("at"), F.col("first_pos"))).otherwise(F.col("at"))
-    hits = hits.groupBy("doc_id", "k").agg(F.array_sort(F.flatten(F.collect_list(gone))).alias("gone"))
-    hits = table(hits.where(F.size("gone") > 0), "lines-removed").select(F.col("doc_id").alias("_doc"), F.col("k").alias("_k"), F.col("gone").alias("_gone"))
+    with scratch(docs.sparkSession):
+        rows = table(rows, "lines")
+        found = table(spread(rows, min_sites), "lines-spread")
+        # AQE broadcasts the lines found if they are small and splits a hot line's rows otherwise
+        hits = rows.join(found, ["h1", "h2"])
+        stays = F.coalesce(F.col("doc_id") == F.col("first_doc"), F.lit(False))
+        hits = hits.groupBy("doc_id", "k", "h1", "h2", stays.alias("stays")).agg(F.min("pos").alias("first_pos"), F.collect_set("pos").alias("at"))
+        gone = F.when(F.col("stays"), F.array_remove(F.col("at"), F.col("first_pos"))).otherwise(F.col("at"))
+        hits = hits.groupBy("doc_id", "k").agg(F.flatten(F.collect_list(gone)).alias("gone"))
+        hits = table(hits.where(F.size("gone") > 0), "lines-removed", keep=True)
 
     rest = docs.drop("n_lines", "n_removed")
-    joined = rest.join(hits, rest["doc_id"].eqNullSafe(hits["_doc"]) & (F.xxhash64(rest["text"]) == hits["_k"]), "left")
-    kept = F.filter(lines_of(text), lambda x, i: ~F.array_contains("_gone", i))
-    cleaned = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("_text", cleaned).withColumn("n_lines", F.size(lines_of(text))).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)))
-    return out.select(*(F.col("_text").alias("text") if c == "text" else c for c in rest.columns), "n_lines", "n_removed")
+    doc, k, gone, lines, new = fresh(rest, "_doc", "_k", "_gone", "_lines", "_text")
+    hits = hits.toDF(doc, k, gone)
+    out = rest.join(hits, rest["doc_id"].eqNullSafe(hits[doc]) & (F.xxhash64(rest["text"]) == hits[k]), "left")
+    # a column that is used more than once, so that it is split once
+    out = out.withColumn(lines, lines_of(text))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    kept = F.transform(left, lambda i: F.get(lines, i))
+    cleaned = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(kept, "\n"))
+    out = out.select(*rest.columns, F.size(lines).alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).alias("n_removed"), cleaned.alias(new))
+    return out.select(*(F.col(new).alias("text") if c == "text" else c for c in rest.columns), "n_lines", "n_removed")

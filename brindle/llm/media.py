@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .shared import pieces
+from .shared import lean, pieces
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 LEVEL = 4
 #: Payload bytes in an Arrow batch, about.
 BATCH = 4 << 20
-MANIFEST = "_manifest"
+MANIFEST = "manifest"
 
 
 def pad(data: bytes) -> bytes:
@@ -102,7 +102,7 @@ def committed(uri: str) -> list:
     for x in found:
         if x.base_name.startswith(MANIFEST):
             with fs.open_input_stream(x.path) as f:
-                listed |= set(f.read().decode().split())
+                listed |= {x.partition(" ")[2] for x in f.read().decode().splitlines()}
     return sorted((x for x in found if x.base_name in listed), key=lambda x: x.path)
 
 
@@ -153,9 +153,10 @@ class ArchiveWriter(DataSourceArrowWriter):
                     if archive is None or size > self.most:
                         if archive is not None:
                             archive.close()
+                            files[-1] += (out.tell(),)
                             out.close()
                         name = f"part-{uuid.uuid4().hex}.zip"
-                        files.append(name)
+                        files.append((name,))
                         out = fs.open_output_stream(f"{top}/{name}")
                         archive, size, n = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED), 0, 0
                     key, media = key.as_py(), media.as_buffer() if media.is_valid else None
@@ -167,6 +168,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         finally:
             if archive is not None:
                 archive.close()
+                files[-1] += (out.tell(),)
                 out.close()
         return Done(files)
 
@@ -174,13 +176,13 @@ class ArchiveWriter(DataSourceArrowWriter):
         fs, top = _fs(self.uri)
         fs.create_dir(top, recursive=True)
         with fs.open_output_stream(f"{top}/{MANIFEST}-{uuid.uuid4().hex}") as f:
-            f.write("".join(f"{x}\n" for m in messages if m for x in m.files).encode())
+            f.write("".join(f"{size} {name}\n" for m in messages if m for name, size in m.files).encode())
 
     def abort(self, messages):
         fs, top = _fs(self.uri)
         for m in messages:
             for x in m.files if m else ():
-                fs.delete_file(f"{top}/{x}")
+                fs.delete_file(f"{top}/{x[0]}")
 
 
 class ArchiveReader(DataSourceReader):
@@ -190,39 +192,45 @@ class ArchiveReader(DataSourceReader):
     def partitions(self):
         return [Span(x.path, a, min(a + self.span, x.size)) for x in committed(self.uri) for a in range(0, x.size, self.span)] or [Span("", 0, 0)]
 
-    def member(self, fs, path: str, info: zipfile.ZipInfo) -> bytes:
-        """A member's bytes, checked against its CRC; retried by itself from its offset."""
+    def member(self, fs, path: str, info: zipfile.ZipInfo, f=None) -> bytes:
+        """A member's bytes, checked against its CRC, from the open file ``f`` if there is one; retried by itself, from its offset, on a newly opened file."""
         for tried in range(self.retries + 1):
             try:
-                with fs.open_input_file(path) as f:
-                    f.seek(info.header_offset)
-                    head = f.read(30)
-                    if head[:4] != b"PK\x03\x04":
-                        raise OSError(f"no member at {info.header_offset} of {path}")
-                    f.seek(info.header_offset + 30 + sum(struct.unpack_from("<HH", head, 26)))
-                    data = f.read(info.file_size)
-                if zlib.crc32(data) != info.CRC:
-                    raise OSError(f"damaged member at {info.header_offset} of {path}")
-                return data
+                if f is not None and not tried:
+                    return self._bytes(f, path, info)
+                with fs.open_input_file(path) as again:
+                    return self._bytes(again, path, info)
             except OSError:
                 if tried == self.retries:
                     raise
                 time.sleep(0.1 * 2**tried)
         raise AssertionError
 
+    def _bytes(self, f, path: str, info: zipfile.ZipInfo) -> bytes:
+        f.seek(info.header_offset)
+        head = f.read(30)
+        if head[:4] != b"PK\x03\x04":
+            raise OSError(f"no member at {info.header_offset} of {path}")
+        f.seek(info.header_offset + 30 + sum(struct.unpack_from("<HH", head, 26)))
+        data = f.read(info.file_size)
+        if zlib.crc32(data) != info.CRC:
+            raise OSError(f"damaged member at {info.header_offset} of {path}")
+        return data
+
     def read(self, span):
         if not span.uri:
             return
         fs, _ = _fs(self.uri)
-        with fs.open_input_file(span.uri) as f, zipfile.ZipFile(f) as archive:
-            own = [x for x in archive.infolist() if span.start <= x.header_offset < span.stop]
-        for a, b in pieces([x.file_size for x in own], BATCH):
-            keys, media = [], []
-            for x in own[a:b]:
-                mark, key = x.filename[8], x.filename[9:]
-                keys.append(key[1:] if key else None)
-                media.append(None if mark == "-" else self.member(fs, span.uri, x))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(media, pa.binary())], ["key", "media"])
+        with fs.open_input_file(span.uri) as f:
+            with zipfile.ZipFile(f) as archive:
+                own = [x for x in archive.infolist() if span.start <= x.header_offset < span.stop]
+            for a, b in pieces([x.file_size for x in own], BATCH):
+                keys, media = [], []
+                for x in own[a:b]:
+                    mark, key = x.filename[8], x.filename[9:]
+                    keys.append(key[1:] if key else None)
+                    media.append(None if mark == "-" else self.member(fs, span.uri, x, f))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(media, pa.binary())], ["key", "media"])
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -233,7 +241,11 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def images(df: DataFrame, data: str, key: str) -> DataFrame:
-    """(key, media): column ``data`` (string as UTF-8, or binary; null as empty), padded, as an image."""
+    """(key, media): column ``data`` (string as UTF-8, or binary; null as empty), padded, as an image.
+
+    A text of any length is one image, made by itself; repeated rows make
+    repeated images; an empty table stays empty; other columns are left out.
+    """
 
     def run(batches):
         for batch in batches:
@@ -260,7 +272,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """(key, media, payload, feature): the stored image, its samples and what ``feature`` says of them."""
+    """(key, media, payload, feature): the stored image, its samples and what ``feature`` says of them.
+
+    Row by row: equal images get equal features, repeated rows repeat, an empty
+    table stays empty, other columns are left out.  A null or damaged image fails the query.
+    """
 
     def run(batches):
         for batch in batches:

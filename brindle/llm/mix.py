@@ -1,13 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target is a share of the whole budget, in words.  A document of a
-source whose target is r times its size has r expected copies: floor(r) of
-them are certain and whole, the rest is an inclusion probability f.  Within a
-source, documents are ranked by the Pareto variable
+A source's target is a share of the whole budget, in words.  Within a source a
+document's expected copies e grow with its size, in strata of sizes of as many
+binary digits: e = min(MOST, level * digits), where the level makes the
+expected words the target.  floor(e) copies are certain and whole; the rest is
+the document's own inclusion probability f for one copy more.  The documents
+of a source are ranked by the Pareto variable
 
     q = (u / (1 - u)) / (f / (1 - f)),    u uniform from a hash of the document,
 
-and the lowest ranks are taken, up to the fixed size that is left: words, not
+random odds over inclusion odds, and the lowest ranks are taken, up to the fixed size that is left: words, not
 rows, since documents are of very unequal length.  The cut is made where the
 running sum of sizes stays within the budget; then the one document beyond it
 whose size comes nearest to what is still missing closes the gap.  Documents
@@ -44,8 +46,13 @@ def uniform(*cols: Column, seed: int = 0) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def stratum_of(size: Column) -> Column:
+    """Binary digits of a size, 1 for 0."""
+    return F.length(F.bin(size)).cast("long")
+
+
 def targets(sizes: DataFrame, weights=(1, 2, 3), share: float = 1.0) -> DataFrame:
-    """(source, source_size, target, whole, part): what each source is to give, from rows (source, size).
+    """(source, source_size, target): what each source is to give, from rows (source, size).
 
     Sources by code point, null last, weigh ``weights``, repeating.  Targets sum
     to ``share`` of all sizes; none is above MOST times its source's size: with
@@ -70,8 +77,29 @@ def targets(sizes: DataFrame, weights=(1, 2, 3), share: float = 1.0) -> DataFram
     per = per.withColumn("level", F.coalesce(holds.over(everything)["level"], F.lit(float("inf"))))
     target = F.least(F.col("level") * F.col("weight"), (MOST * F.col("source_size")).cast("double"))
     per = per.withColumn("target", F.when(F.col("source_size") > 0, target).otherwise(0.0))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return per.select("source", "source_size", "target", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("part"))
+    return per.select("source", "source_size", "target")
+
+
+def expected(strata: DataFrame, per: DataFrame) -> DataFrame:
+    """(source, stratum, source_size, target, whole, part, room): copies of a stratum's documents, and words left to sample in a source.
+
+    ``strata`` (source, stratum, words), ``per`` (source, source_size, target).
+    The largest strata are full, at MOST copies, as long as the level found
+    without them would be above that for the next one.
+    """
+    p = per.withColumnRenamed("source", "_source")
+    rows = strata.join(p, strata["source"].eqNullSafe(p["_source"])).drop("_source")
+    own = W.partitionBy("source")  # a row a binary digit
+    fill = own.orderBy(F.desc("stratum"))
+    full = F.coalesce(F.sum("words").over(fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) * MOST
+    rest = F.sum(F.col("words") * F.col("stratum")).over(fill.rowsBetween(0, W.unboundedFollowing))
+    rows = rows.withColumn("level", (F.col("target") - full) / F.nullif(rest, F.lit(0)))
+    holds = F.col("level") * F.col("stratum") <= MOST
+    level = F.max(F.when(holds, F.struct("stratum", "level"))).over(own)["level"]
+    e = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST)), F.col("stratum") * F.coalesce(level, F.lit(float("inf"))))).otherwise(0.0)
+    rows = rows.withColumn("e", e)
+    room = F.col("target") - F.sum(F.floor("e") * F.col("words")).over(own)
+    return rows.select("source", "stratum", "source_size", "target", F.floor("e").alias("whole"), (F.col("e") - F.floor("e")).alias("part"), room.alias("room"))
 
 
 def _cut(rows: DataFrame, bin_of: Column, have: Column) -> DataFrame:
@@ -88,20 +116,24 @@ def mix(docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, seed: int = 0, t
     ``taken`` is the words that the mix takes of the row, copies counted: a
     multiple of its size, MOST times at most.  Null text: size 0, taken 0.  Null
     source: a source of its own, last.  Rows are told apart by (doc_id, source,
-    size); repeated rows tie and are taken together.  An empty table gives no rows.
+    size); repeated rows tie and are taken together.  A text of any length is
+    one document, taken whole.  Other columns are not looked at, whatever their
+    names.  An empty table gives no rows.  One row a source meets in one task,
+    to find the targets.
     """
     base = docs.select("doc_id", "source", size_of(F.col(text)).alias("size"))
     base = table(base, "mix-sizes")
-    per = table(targets(base, weights, share), "mix-targets")
-    # a row a source; Catalyst sees the files' size and broadcasts them if they are small
-    p = per.withColumnRenamed("source", "_source")
-    rows = base.join(p, base["source"].eqNullSafe(p["_source"])).drop("_source")
+    base = base.withColumn("stratum", stratum_of(F.col("size")))
+    strata = table(base.groupBy("source", "stratum").agg(F.sum("size").alias("words")), "mix-strata")
+    per = table(expected(strata, targets(strata.withColumnRenamed("words", "size"), weights, share)), "mix-targets")
+    # a row a source and stratum; Catalyst sees the files' size and broadcasts them if they are small
+    p = per.withColumnsRenamed({"source": "_source", "stratum": "_stratum"})
+    rows = base.join(p, base["source"].eqNullSafe(p["_source"]) & (base["stratum"] == p["_stratum"])).drop("_source", "_stratum")
     u = uniform(F.col("doc_id"), F.col("source"), seed=seed)
     odds = (u / (1 - u)) / (F.col("part") / (1 - F.col("part")))
     # what has no remainder to sample ranks last
     rank = F.when(F.col("part") > 0, odds / (1 + odds)).otherwise(1.0)
-    room = F.col("target") - F.col("whole") * F.col("source_size")
-    rows = rows.withColumn("rank", rank).withColumn("room", room)
+    rows = rows.withColumn("rank", rank)
     n = F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1))
     finer = F.least(F.floor((F.col("rank") * BINS - n) * BINS), F.lit(BINS - 1))
     rows = rows.withColumn("b1", n).withColumn("b2", finer)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import eights, give_back, lean, pieces, scratch, sized, stir, table
+from .shared import eights, fresh, give_back, lean, pieces, scratch, sized, stir, table
 
 SHINGLE = 5
 #: Similarity of linked sets, in per cent.
@@ -622,8 +622,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any more) without all but one of each component.
 
     The row with the smallest doc_id stays, null last, then the smallest hash of
-    its text; rows that agree in both and in everything else are one.  Rows
-    without a set all stay.
+    its text; rows that agree in both are one.  Rows without a set (null, empty
+    or blank text) all stay.  Texts of any length are read whole; other columns
+    pass through, whatever their names; an empty table gives no rows.
     """
     found = table(components_of(docs).where("n > 0"), "join-found")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k")).alias("first")
@@ -640,5 +641,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     out = without(docs, marks.where("not stays"), "left_anti")
     again = marks.where("stays and rows > 1")
     if again.head(1):
-        out = without(out, again, "left_anti").unionByName(without(out, again, "left_semi").withColumn("_k", k).dropDuplicates(["doc_id", "_k"]).drop("_k"))
+        (name,) = fresh(out, "_k")
+        one = without(out, again, "left_semi").withColumn(name, k).dropDuplicates(["doc_id", name]).drop(name)
+        out = without(out, again, "left_anti").unionByName(one)
     return out

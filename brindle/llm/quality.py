@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import pieces, split_mod
+from .shared import lean, pieces, split_mod
 
 FEATURES = [
     "log_words", "mean_word", "sd_word", "long_word", "upper", "punct", "digit", "symbol", "nonascii", "space",
@@ -32,7 +32,7 @@ FEATURES = [
 BINS = 32
 #: Labelled rows that the model is fitted on, at most: the features of so many fit in 10 MB.
 MAX_ROWS = 20_000
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 # byte classes: 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 sentence punctuation, 6 symbol, 7 part of a non-ASCII character
 _CLASS = np.zeros(256, np.uint8)
@@ -74,6 +74,7 @@ def _described(docs: DataFrame, carry: tuple[str, ...], text: str, field: T.Stru
     """``carry`` of ``docs`` and a column that ``make`` gets from the rows of features of their texts."""
     schema = T.StructType([*(docs.schema[c] for c in carry), field])
 
+    @lean
     def run(batches):
         for batch in batches:
             texts = batch.column(text)
@@ -205,17 +206,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     """Fit on at most about ``max_rows`` labelled documents, those outside the held-out third.
 
     If more are labelled, the share taken is those whose hashed id is small, so
-    reruns agree.  Rows with a null id, text or label take no part.
+    reruns agree.  Rows with a null id, text or label take no part; repeated
+    labels or documents count as often as they meet.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (split_mod(F.col("doc_id")) != 1)).select("doc_id", F.col(label).cast("double").alias("_label"))
     n = own.count()
     if n > max_rows:
-        own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
+        own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * max_rows / n))
     # max_rows pairs of numbers: a bounded broadcast
     rows = feature_table(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(own), "doc_id"), "doc_id", "_label").orderBy("doc_id", "features").select("_label", "features").toPandas()
     return fit(np.array(rows["features"].tolist(), float).reshape(-1, len(FEATURES)), rows["_label"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Model, *carry: str, text: str = "text") -> DataFrame:
-    """The columns ``carry`` of ``docs`` and ``score`` double, for every row; null and empty texts are scored by their features, all 0."""
-    return _described(docs, carry, text, T.StructField("score", T.DoubleType()), lambda x: pa.array(model.score(x)))
+def score(docs: DataFrame, model: Model, *carry: str, text: str = "text", out: str = "score") -> DataFrame:
+    """The columns ``carry`` of ``docs`` and a double named ``out``, for every row; null and empty texts are scored by their features, all 0.
+
+    Every row by itself: equal texts score alike, repeated rows repeat, an empty
+    table stays empty.  A text of any length is looked at whole.  Of the other
+    columns only ``carry`` pass; one of them named like ``out`` needs another ``out``.
+    """
+    return _described(docs, carry, text, T.StructField(out, T.DoubleType()), lambda x: pa.array(model.score(x)))

@@ -87,17 +87,22 @@ def op3_mix(spark, sf_dir):
 #: Rows (doc_id, source, size, source_size, target, whole, copies, ...) of a mix of the relation put for {docs}.
 MIX_SQL = """
 sized as (select doc_id, source, {extra} coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from {docs}),
-per as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as nth from sized group by source),
+strata as (select source, length(bin(size))::bigint as stratum, sum(size)::bigint as words from sized group by 1, 2),
+per as (select source, sum(words)::bigint as source_size, row_number() over (order by source nulls last) as nth from strata group by source),
 weighed as (select *, ((nth - 1) % 3 + 1)::double as weight from per),
 levels as (select *, (sum(source_size) over ()::double - coalesce(sum(3 * source_size) over (order by source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
     / sum(weight) over (order by source_size / weight, source nulls last rows between current row and unbounded following) as lvl from weighed),
 leveled as (select *, coalesce(arg_min(case when lvl * weight <= 3 * source_size then lvl end, case when lvl * weight <= 3 * source_size then source_size / weight end) over (), 'inf'::double) as lvl0 from levels),
 targeted as (select source, source_size, case when source_size > 0 then least(lvl0 * weight, (3 * source_size)::double) else 0.0 end as target from leveled),
-parts as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole,
-    case when source_size > 0 then target / source_size - floor(target / source_size) else 0.0 end as part from targeted),
-hashed as (select s.*, p.source_size, p.target, p.whole, p.part, p.target - p.whole * p.source_size as room,
+filled as (select s.*, t.source_size, t.target, (t.target - 3 * coalesce(sum(words) over (partition by s.source order by stratum desc rows between unbounded preceding and 1 preceding), 0))
+    / nullif(sum(words * stratum) over (partition by s.source order by stratum desc rows between current row and unbounded following), 0) as level
+    from strata s join targeted t on s.source is not distinct from t.source),
+awaited as (select *, case when source_size > 0 then least(3.0::double, stratum * coalesce(arg_max(case when level * stratum <= 3 then level end, case when level * stratum <= 3 then stratum end)
+    over (partition by source), 'inf'::double)) else 0.0::double end as e from filled),
+parts as (select source, stratum, source_size, target, floor(e)::bigint as whole, e - floor(e) as part, target - sum(floor(e) * words) over (partition by source) as room from awaited),
+hashed as (select s.*, p.source_size, p.target, p.whole, p.part, p.room,
     (('0x' || substr(md5('0|' || coalesce(s.doc_id::varchar, '-') || '|' || coalesce(s.source, '-')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
-    from sized s join parts p on s.source is not distinct from p.source),
+    from sized s join parts p on s.source is not distinct from p.source and p.stratum = length(bin(s.size))),
 ranked as (select *, case when part > 0 then ((u / (1 - u)) / (part / (1 - part))) / (1 + (u / (1 - u)) / (part / (1 - part))) else 1.0 end as rnk from hashed),
 summed as (select *, case when part > 0 and size > 0 then sum(case when part > 0 then size else 0 end) over (partition by source order by rnk, doc_id, size) end as run from ranked),
 inside as (select *, coalesce(run <= room, false) as taken_once from summed),
@@ -116,11 +121,11 @@ def op4_topk(spark, sf_dir):
 
 
 ORACLE_SQL["op4_topk"] = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
     where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.e, c.e)::bigint as score
-    from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+s as (select q.r, q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.e, c.e)::bigint as score
+    from v q join v c on q.vec_id % 20 = 0 and c.r <> q.r),
+r as (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s)
 select query_id, rank::integer as rank, vec_id, score from r where rank <= 20"""
 
 

@@ -155,6 +155,18 @@ def eights(data: bytes) -> np.ndarray:
     return np.ndarray((n,), "<u8", data + bytes(8), strides=(1,)) if n else np.empty(0, _U)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as ``df`` needs to have no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def split_mod(doc_id) -> "F.Column":
     """crc32 of doc_id as text, modulo 3; rows where it is 1 are held out from all fitting (null id: as empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3

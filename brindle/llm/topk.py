@@ -19,28 +19,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import give_back, lean, table
 
 #: Vectors in a shard of candidates and in a block of queries.
 SHARD, BLOCK = 1024, 1024
 #: Lists merged at a step of the tree.
 FAN = 16
-_PACKED = "dim int, pack int, ids binary, vectors binary"
+_PACKED = "dim int, pack int, ids binary, rows binary, vectors binary"
 
 
-def _pack(frame: pd.DataFrame) -> tuple[bytes, bytes]:
-    """Ids and vectors in order of id; of rows with one id, that with the least vector."""
-    rows = sorted({(int(i), tuple(float(x) for x in v)) for i, v in zip(frame["id"], frame["v"])})
-    rows = [x for n, x in enumerate(rows) if not n or rows[n - 1][0] != x[0]]
-    return np.array([x[0] for x in rows], "<i8").tobytes(), np.array([x[1] for x in rows], "<f8").tobytes()
+def _packed(rows: DataFrame, packs: int) -> DataFrame:
+    """Rows dealt to packs by their own number, so one id in many rows fills many packs; within a pack in order of id."""
 
-
-def _packed(rows: DataFrame, packs: int, rank: str) -> DataFrame:
     def run(key, frame):
-        ids, vectors = _pack(frame)
-        return pd.DataFrame({"dim": [key[0]], "pack": [key[1]], "ids": [ids], "vectors": [vectors]})
+        frame = frame.sort_values(["id", "row"], kind="stable")
+        vectors = np.stack(frame["v"].to_list()) if key[0] else np.empty((len(frame), 0))
+        out = pd.DataFrame({"dim": [key[0]], "pack": [key[1]], "ids": [frame["id"].to_numpy("<i8").tobytes()], "rows": [frame["row"].to_numpy("<i8").tobytes()], "vectors": [vectors.astype("<f8").tobytes()]})
+        give_back()
+        return out
 
-    return rows.withColumn("dim", F.size("v")).withColumn("pack", F.pmod(F.xxhash64("id", F.lit(rank)), F.lit(packs)).cast("int")).groupBy("dim", "pack").applyInPandas(run, _PACKED)
+    return rows.withColumn("dim", F.size("v")).withColumn("pack", F.pmod(F.xxhash64("row"), F.lit(packs)).cast("int")).groupBy("dim", "pack").applyInPandas(run, _PACKED)
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -53,9 +51,9 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(got, -(2**63) + 1, 2**63 - 1).astype(np.int64)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[list[int], list[int]]:
-    """(scores, ids) of the k best but for ``own``, ties to the smaller id; ``ids`` ascend."""
-    keep = np.flatnonzero(ids != own)
+def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+    """(scores, ids) of the k best but where ``own`` holds, ties to the smaller id; ``ids`` ascend."""
+    keep = np.flatnonzero(~own)
     s = scores[keep]
     if len(s) > k:
         bound = np.partition(s, len(s) - k)[len(s) - k]
@@ -71,34 +69,39 @@ def search(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, id: s
 
     Components become floor(scale * x).  Rows with a null id, or a vector that is
     null or holds null, NaN or infinite components, take no part; vectors of
-    different length are not compared; of rows that share an id one takes part
-    (with the least vector); an empty table gives no rows; queries without
-    another row to find give none.  Ties go to the smaller id.
+    different length are not compared.  Rows that share an id are rows of their
+    own: each is a candidate for all others, those of its id included, and each
+    query row gets a list.  An empty table gives no rows; queries without
+    another row to find give none.  Ties go to the smaller id.  Other columns
+    are not looked at, whatever their names.
     """
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col(id).isNotNull() & F.col(vector).isNotNull() & finite)
     # floor follows in the tiles: Spark's own floor would be cut to 64 bits
     scaled = F.transform(vector, lambda x: x.cast("double") * F.lit(float(scale)))
-    rows = rows.select(F.col(id).cast("long").alias("id"), scaled.alias("v"), is_query.alias("q"))
+    # written out, so that the numbers stay
+    rows = rows.select(F.col(id).cast("long").alias("id"), scaled.alias("v"), is_query.alias("q"), F.monotonically_increasing_id().alias("row"))
     rows = table(rows, "topk-rows")
     counted = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("q"), 1)).alias("q")).first()
     shards, blocks = max(1, math.ceil(counted["n"] / SHARD)), max(1, math.ceil(counted["q"] / BLOCK))
-    shard = _packed(rows.select("id", "v"), shards, "shard")
-    block = _packed(rows.where("q").select("id", "v"), blocks, "block").select("dim", F.col("pack").alias("block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
+    shard = _packed(rows.select("id", "row", "v"), shards)
+    block = _packed(rows.where("q").select("id", "row", "v"), blocks)
+    block = block.select("dim", F.col("pack").alias("block"), F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"), F.col("vectors").alias("query_vectors"))
     tiles = block.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(shard, ["dim", "pack"])
 
+    @lean
     def run(frames):
         for frame in frames:
             for t in frame.itertuples(index=False):
-                q, c = (np.floor(np.frombuffer(x, "<f8").reshape(-1, t.dim)) for x in (t.query_vectors, t.vectors))
-                q_ids, c_ids = (np.frombuffer(x, "<i8") for x in (t.query_ids, t.ids))
-                lists = [best(s, c_ids, i, k) for s, i in zip(products(q, c), q_ids.tolist())] if t.dim else [best(np.zeros(len(c_ids), np.int64), c_ids, i, k) for i in q_ids.tolist()]
-                yield pd.DataFrame({"query_id": q_ids, "node": np.int32(t.pack), "top": [[{"neg": -a, "vec_id": b} for a, b in zip(*x)] for x in lists]})
+                q, c = (np.floor(np.frombuffer(x, "<f8").reshape(-1, t.dim)) if t.dim else np.empty((len(x_rows) // 8, 0)) for x, x_rows in ((t.query_vectors, t.query_rows), (t.vectors, t.rows)))
+                q_ids, q_rows, c_ids, c_rows = (np.frombuffer(x, "<i8") for x in (t.query_ids, t.query_rows, t.ids, t.rows))
+                lists = [best(s, c_ids, c_rows == row, k) for s, row in zip(products(q, c), q_rows)]
+                yield pd.DataFrame({"query": q_rows, "query_id": q_ids, "node": np.int32(t.pack), "top": [[{"neg": -a, "vec_id": b} for a, b in zip(*x)] for x in lists]})
 
-    lists = tiles.select("dim", "pack", "query_ids", "query_vectors", "ids", "vectors").mapInPandas(run, "query_id long, node int, top array<struct<neg: long, vec_id: long>>")
+    lists = tiles.select("dim", "pack", "query_ids", "query_rows", "query_vectors", "ids", "rows", "vectors").mapInPandas(run, "query long, query_id long, node int, top array<struct<neg: long, vec_id: long>>")
     nodes = shards
     while nodes > 1:  # FAN lists of k meet in a node
-        lists = lists.groupBy("query_id", F.floor(F.col("node") / FAN).cast("int").alias("node")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+        lists = lists.groupBy("query", "query_id", F.floor(F.col("node") / FAN).cast("int").alias("node")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
         nodes = math.ceil(nodes / FAN)
     out = lists.select("query_id", F.posexplode("top").alias("at", "hit"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.neg")).alias("score"))

@@ -23,12 +23,13 @@ import uuid
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
 from . import media
-from .shared import sized, table
+from .shared import scratch, sized, table
 
 #: Fixed values of the format.
 MAGIC = b"WARC/1.1\r\n"
@@ -38,6 +39,9 @@ LEAST = 100
 #: A header may not be longer.
 HEADER = 1 << 16
 RANGE_MB = 8
+#: Bytes of archives that a task reads when there are many.
+TASK_MB = 64
+SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -98,26 +102,28 @@ class WarcWriter(media.ArchiveWriter):
                     if out is None or size > self.most:
                         if out is not None:
                             out.close()
-                        files.append(f"part-{uuid.uuid4().hex}.warc")
-                        out, size = fs.open_output_stream(f"{top}/{files[-1]}"), 0
+                            files[-1] += (size,)
+                        files.append((f"part-{uuid.uuid4().hex}.warc",))
+                        out, size = fs.open_output_stream(f"{top}/{files[-1][0]}"), 0
                     page_id, url, payload, digest, refers_to = (x.as_py() for x in row)
                     out.write(x := record(page_id, url, payload, digest, refers_to))
                     size += len(x)
         finally:
             if out is not None:
                 out.close()
+                files[-1] += (size,)
         return media.Done(files)
 
 
 def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, refers_to) of the pages (page_id, payload) that repeat the payload of one with a smaller id.
+    """(page_id, d, refers_to) of the pages (page_id, payload) that repeat the payload, of SHA-256 d, of one with a smaller id.
 
     Payloads under ``least`` bytes and pages with a null id refer to nothing.
     """
     own = pages.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("page_id", F.unhex(F.sha2("payload", 256)).alias("d"))
     own = table(own, "warc-digests")
     first = own.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
-    return own.join(first, "d").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return own.join(first, "d").where("page_id > refers_to").select("page_id", "d", "refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
@@ -125,21 +131,33 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
 
     Of pages with equal payloads of at least ``least`` bytes the one with the
     smallest id is a response, others revisit it.  Null payload: as empty.  Null
-    url: no such field.  Rows that repeat an id share its role.  An empty table writes no file.
+    url: no such field.  Rows that repeat an id and a payload share a role; with
+    different payloads each has its own.  Other columns are not looked at.  An empty table writes no file.
     """
     spark = pages.sparkSession
     spark.dataSource.register(WarcArchive)
     pages = pages.select("page_id", "url", F.coalesce("payload", F.lit(b"")).alias("payload"))
     again = table(revisits(pages, least), "warc-revisits")
-    rows = pages.join(sized(again, 32), "page_id", "left").select("page_id", "url", "payload", F.sha2("payload", 256).alias("digest"), "refers_to")
+    rows = pages.withColumn("d", F.unhex(F.sha2("payload", 256))).join(sized(again, 128), ["page_id", "d"], "left")
+    rows = rows.select("page_id", "url", "payload", F.lower(F.hex("d")).alias("digest"), "refers_to")
     rows.write.format("warc_archive").mode("append").save(media.qualified(spark, path))
 
 
-def links(spark: SparkSession, uri: str, files: list, span: int) -> DataFrame:
+def archives(spark: SparkSession, uri: str) -> DataFrame:
+    """(file, size) of every archive that the folder's manifests list."""
+    fs, top = media._fs(uri)
+    if not any(x.base_name.startswith(media.MANIFEST) for x in fs.get_file_info(pafs.FileSelector(top, allow_not_found=True))):
+        return spark.createDataFrame([], "file string, size long")
+    listed = spark.read.text(f"{uri}/{media.MANIFEST}-*").select(F.split("value", " ").alias("x"))
+    return listed.select(F.concat(F.lit(top + "/"), F.col("x")[1]).alias("file"), F.col("x")[0].cast("long").alias("size")).where("size > 0")
+
+
+def links(files: DataFrame, uri: str, span: int, tasks: int) -> DataFrame:
     """(file, at, to): each candidate, and the first place outside its range that the chain from it leads to."""
-    ranges = [(x.path, a, min(a + span, x.size)) for x in files for a in range(0, x.size, span)]
-    plan = spark.createDataFrame(ranges, "file string, start long, stop long").repartition(max(1, len(ranges)), "file", "start")
+    plan = files.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(span).cast("long"))).alias("start"), "size")
+    plan = plan.select("file", "start", F.least(F.col("start") + span, "size").alias("stop")).repartition(tasks, "file", "start")
 
+    @media.lean
     def run(frames):
         fs, _ = media._fs(uri)
         for frame in frames:
@@ -158,16 +176,34 @@ def links(spark: SparkSession, uri: str, files: list, span: int) -> DataFrame:
     return plan.mapInPandas(run, "file string, at long, to long")
 
 
-def reached(spark: SparkSession, uri: str, files: list, span: int) -> DataFrame:
-    """(file, at): per range the place where the chain from the file's start enters it, by pointer jumping."""
-    hops = table(links(spark, uri, files, span), "warc-links")
-    here = spark.createDataFrame([(x.path, 0) for x in files if x.size], "file string, at long")
-    for _ in range(math.ceil(math.log2(max([2, *(math.ceil(x.size / span) for x in files)]))) + 1):
-        step = here.join(hops, ["file", "at"]).select("file", F.col("to").alias("at"))
+def reached(files: DataFrame, uri: str, span: int, tasks: int, most: int) -> DataFrame:
+    """(file, size, at): per range the place where the chain from the file's start enters it, by pointer jumping; most: ranges in a file."""
+    hops = table(links(files, uri, span, tasks), "warc-links")
+    here = files.select("file", "size", F.lit(0).cast("long").alias("at"))
+    for _ in range(math.ceil(math.log2(max(2, most))) + 1):
+        step = here.join(hops, ["file", "at"]).select("file", "size", F.col("to").alias("at"))
         here = table(here.unionByName(step).distinct(), "warc-reached")
         after = hops.select("file", F.col("at").alias("to"), F.col("to").alias("then"))
         hops = table(hops.join(after, ["file", "to"], "left").select("file", "at", F.coalesce("then", "to").alias("to")), "warc-hops")
-    return here
+    return table(here.where("at < size"), "warc-entries", keep=True)
+
+
+class Window:
+    """Bytes of a file from any place on, read in large steps; what lies before the last place asked for is let go."""
+
+    def __init__(self, file, size: int, step: int = 1 << 20):
+        self.file, self.size, self.step, self.base, self.data = file, size, step, 0, b""
+
+    def at(self, place: int, n: int) -> bytes:
+        """``n`` bytes from ``place``, fewer at the end."""
+        stop = min(self.size, place + n)
+        if not self.base <= place <= self.base + len(self.data):
+            self.base, self.data = place, b""
+        if stop > self.base + len(self.data):
+            self.file.seek(self.base + len(self.data))
+            more = self.file.read(max(self.step, stop - self.base - len(self.data)))
+            self.base, self.data = place, self.data[place - self.base :] + more
+        return self.data[place - self.base : stop - self.base]
 
 
 def read(spark: SparkSession, path: str, range_mb: float = RANGE_MB) -> DataFrame:
@@ -178,30 +214,36 @@ def read(spark: SparkSession, path: str, range_mb: float = RANGE_MB) -> DataFram
     revisit, whose ``payload`` is null.  A file whose chain doesn't end with the file fails the query.
     """
     uri, span = media.qualified(spark, path), max(1, int(range_mb * (1 << 20)))
-    files = media.committed(uri)
-    sizes = spark.createDataFrame([(x.path, x.size) for x in files], "file string, size long")
-    at = reached(spark, uri, files, span).join(F.broadcast(sizes), "file").where("at < size").repartition(F.col("file"), F.col("at"))
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-
+    files = table(archives(spark, uri), "warc-files")
+    count, total, largest = files.agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
+    if not count:
+        return spark.createDataFrame([], SCHEMA)
+    ranges = F.ceil(F.col("size") / span)
+    # a range a task for small archives, TASK_MB a task for large ones
+    tasks = min(files.agg(F.sum(ranges)).first()[0], max(4 * spark.sparkContext.defaultParallelism, math.ceil(total / (TASK_MB << 20))))
+    with scratch(spark):
+        entries = reached(files, uri, span, tasks, math.ceil(largest / span))
+    # a count that is stated: the places are few bytes, what they stand for isn't
+    at = entries.repartition(tasks, "file", "at")
     def number(x):
         found = re.search(r"-?[0-9]+", x or "")
         return int(found[0]) if found else None
 
+    @media.lean
     def run(batches):
         fs, _ = media._fs(uri)
         for batch in batches:
             for row in batch.to_pylist():
                 place, stop, out, held = row["at"], min((row["at"] // span + 1) * span, row["size"]), [], 0
                 with fs.open_input_file(row["file"]) as f:
+                    window = Window(f, row["size"])
                     while place < stop:
-                        f.seek(place)
-                        data = f.read(min(HEADER, row["size"] - place))
+                        data = window.at(place, HEADER)
                         got = header(data, 0)
                         if not got or place + got[2] > row["size"]:
                             raise ValueError(f"no whole record at byte {place} of {row['file']}")
                         fields, a, b = got
-                        if b > len(data):
-                            data += f.read(b - len(data))
+                        data = window.at(place, b) if b > len(data) else data
                         body, revisit = data[a : b - len(END)], fields["WARC-Type"] == "revisit"
                         digest = fields["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(body).hexdigest()
                         if digest != fields["WARC-Payload-Digest"].removeprefix("sha256:") or data[b - len(END) : b] != END:
@@ -214,7 +256,7 @@ def read(spark: SparkSession, path: str, range_mb: float = RANGE_MB) -> DataFram
                 if out:
                     yield _batch(out)
 
-    return at.select("file", "at", "size").mapInArrow(run, schema)
+    return at.select("file", "at", "size").mapInArrow(run, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

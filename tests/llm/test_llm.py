@@ -137,6 +137,21 @@ def test_mix_targets_and_nearness(spark):
     assert again.sort_values("doc_id")["taken"].tolist() == got.sort_values("doc_id")["taken"].tolist()
 
 
+def test_mix_probabilities_follow_sizes(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(n), "a") for i, n in enumerate(rng.choice([3, 20, 150, 900], 1200, p=[0.4, 0.3, 0.2, 0.1]))] + [(5000, "w " * 100_000, "b")]
+    df = docs(spark, rows)
+    got = {s: mix.mix(df, seed=s).where("source = 'a'").toPandas() for s in range(5)}
+    own = got[0]
+    digits = own["size"].map(lambda n: len(f"{n:b}"))
+    # the one big document takes all it may, the rest of the target is below 3 copies of every stratum here or capped there
+    e = np.minimum(3, digits * next(x for x in np.linspace(0, 3, 300_001) if (own["size"] * np.minimum(3, digits * x)).sum() >= own["target"].iloc[0] - 1e-6))
+    mean = sum(g.set_index("doc_id")["copies"] for g in got.values()) / len(got)
+    per = np.array([(mean.to_numpy()[own.index[digits == d]].mean(), e[digits == d].mean()) for d in sorted(set(digits))])
+    assert len(set(np.round(per[:, 1], 3))) > 1 and np.abs(per[:, 0] - per[:, 1]).max() < 0.08
+    assert all((g["copies"].to_numpy() >= np.floor(e - 1e-3)).all() for g in got.values())  # the certain copies
+
+
 def test_mix_edges(spark):
     assert mix.mix(texts(spark).limit(0)).count() == 0
     got = mix.mix(texts(spark)).collect()
@@ -152,12 +167,15 @@ def test_topk_brute_force(spark):
     got = collections.defaultdict(list)
     for r in topk.search(df, F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)), k=5).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
-    own = {}
-    for i, v in sorted(((i, v) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)), key=lambda x: (x[0], x[1])):
-        own.setdefault(i, [int(np.floor(64 * x)) if abs(x) < 1e18 else int(64 * x) for x in v])
-    for q in (i for i in own if i % 20 == 0):
-        scores = sorted(((-max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(own[q], own[c])))), c) for c in own if c != q and len(own[c]) == len(own[q])))[:5]
-        assert got[q] == [(c, -s) for s, c in scores], q
+    own = [(i, [int(np.floor(64 * x)) if abs(x) < 1e18 else int(64 * x) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = collections.defaultdict(list)
+    for n, (q, x) in enumerate(own):
+        if q % 20 == 0:
+            want[q] += sorted(((-max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(x, y)))), c) for m, (c, y) in enumerate(own) if m != n and len(y) == len(x)))[:5]
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted((c, -s) for s, c in x) for q, x in want.items() if x}
+    same = spark.createDataFrame([(20, [1.0]), (20, [2.0]), (1, [1.0]), (1, [3.0]), (1, [3.0])], "vec_id long, embedding array<double>")
+    lists = collections.Counter((r.query_id, r.rank, r.vec_id, r.score // 4096) for r in topk.search(same, F.col("vec_id") == 20).collect())
+    assert lists == collections.Counter([(20, n, i, s) for one in ([(1, 3), (1, 3), (20, 2), (1, 1)], [(1, 6), (1, 6), (1, 2), (20, 2)]) for n, (i, s) in enumerate(one, 1)])
     assert topk.search(df.limit(0), F.lit(True)).count() == 0
 
 
@@ -280,6 +298,12 @@ def test_warc_chains(spark):
             to = first.get(p) if i is not None and i != first.get(p) else None
             want[i, "response" if to is None else "revisit", to, len(p), hashlib.sha256(p).hexdigest(), p if to is None else None] += 1
         assert got == want
+    # one id with two payloads: each keeps its own
+    twice = scratch_path(spark, "warc-test")
+    a, b = b"A" * 200, b"B" * 200
+    warc.write(spark.createDataFrame([(3, None, a), (7, None, a), (7, None, b)], "page_id long, url string, payload binary"), twice)
+    got = sorted((r.page_id, r.record_type, r.refers_to or 0, None if r.payload is None else bytes(r.payload)) for r in warc.read(spark, twice).collect())
+    assert got == [(3, "response", 0, a), (7, "response", 0, b), (7, "revisit", 3, None)]
     empty = scratch_path(spark, "warc-test")
     warc.write(df.limit(0), empty)
     assert warc.read(spark, empty).count() == 0
@@ -294,14 +318,16 @@ def labelled(spark, name):
     return d, l, {r.doc_id: r[name] for r in l.collect()}
 
 
-@pytest.mark.parametrize("module, name, least", [(quality, "quality", 0.95), (toxicity, "toxic", 0.9)])
-def test_classifiers_held_out(spark, module, name, least):
+# a third of the 51 toxic documents there are in languages other than English, with few of their words among the training rows
+@pytest.mark.parametrize("module, name, cut, precision, recall", [(quality, "quality", 0.5, 0.97, 0.95), (toxicity, "toxic", 0.7, 0.85, 0.75)])
+def test_classifiers_held_out(spark, module, name, cut, precision, recall):
     d, l, truth = labelled(spark, name)
     model = module.train(d, l)
     out = {r.doc_id: r.score for r in module.score(d, model, "doc_id").collect()}
     assert len(out) == d.count() and all(0 <= s <= 1 for s in out.values())
     held = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
-    assert np.mean([(out[i] >= 0.5) == truth[i] for i in held]) >= least
+    said, true = np.array([out[i] >= cut for i in held]), np.array([truth[i] == 1 for i in held])
+    assert (said & true).sum() >= precision * said.sum() and (said & true).sum() >= recall * true.sum()
     # labels of held-out rows change nothing
     flipped = l.withColumn(name, F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col(name)).otherwise(F.col(name)))
     again = {r.doc_id: r.score for r in module.score(d, module.train(d, flipped), "doc_id").collect()}
