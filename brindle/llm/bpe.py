@@ -14,13 +14,19 @@ Decoding works on raw bytes: ids need not form whole characters.
 
 from __future__ import annotations
 
+import atexit
 import base64
+import hashlib
+import os
+import shutil
+import tempfile
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .shared import lean, pieces
@@ -30,7 +36,9 @@ CHUNK = 1 << 15
 #: A piece that came out longer than this holds a stretch without a safe boundary.
 STRETCH = 4 * CHUNK
 #: Bytes of text taken from an Arrow batch at a time; bounds a worker's memory.
-SLICE = 4 << 20
+SLICE = 1 << 20
+#: Ids decoded together.
+PART = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -79,19 +87,56 @@ class Codec:
                 out += [np.array(self.encoding._encode_single_piece(m.group().encode()), np.uint32) for m in self.match.finditer(x)]
         return np.concatenate(out)
 
-    def decode(self, ids) -> bytes:
-        return self.encoding.decode_bytes(ids)
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.encoding.decode_bytes(ids[a : a + PART].tolist()) for a in range(0, len(ids), PART))
 
 
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return Codec(SparkFiles.get(path), pattern)
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> tuple[T.StructType, list[str]]:
-    """The schema of ``df`` with column ``name`` put last (replaced if there), and the other columns."""
-    rest = [f for f in df.schema.fields if f.name != name]
-    return T.StructType([*rest, T.StructField(name, kind)]), [f.name for f in rest]
+def local(spark: SparkSession, ranks: str) -> str:
+    """Send the rank file to the executors, once an application; the name by which a worker finds it."""
+    sent = spark.sparkContext.__dict__.setdefault("_brindle_ranks", {})
+    if ranks not in sent:
+        name = f"{hashlib.sha256(ranks.encode()).hexdigest()[:16]}-{os.path.basename(ranks)}"
+        copy = os.path.join(tempfile.mkdtemp(prefix="brindle-ranks-"), name)  # addFile tells files apart by their last name
+        shutil.copyfile(ranks, copy)
+        spark.sparkContext.addFile(copy)
+        atexit.register(shutil.rmtree, os.path.dirname(copy), ignore_errors=True)  # the driver serves it till then
+        sent[ranks] = name
+    return sent[ranks]
+
+
+def _with(df: DataFrame, *added: tuple[str, T.DataType]) -> T.StructType:
+    """The schema of ``df`` with these columns put last (replaced if there)."""
+    names = [n for n, _ in added]
+    return T.StructType([*(f for f in df.schema.fields if f.name not in names), *(T.StructField(*x) for x in added)])
+
+
+def _put(batch: pa.RecordBatch, name: str, column) -> pa.RecordBatch:
+    rest = [c for c in batch.schema.names if c != name]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), column], [*rest, name])
+
+
+def _encoded(batches, own: Codec, text: str, out: str):
+    for batch in batches:
+        texts = batch.column(text)
+        sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+        for a, b in pieces(sizes, SLICE):
+            ids = [own.encode(x) for x in texts[a:b].to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            yield _put(batch.slice(a, b - a), out, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
+
+
+def _decoded(batches, own: Codec, ids: str, out: str):
+    for batch in batches:
+        lists = batch.column(ids)
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_pylist()
+        for a, b in pieces(sizes, SLICE // 4):
+            decoded = [own.decode(x.values.to_numpy()) if x.is_valid else b"" for x in lists[a:b]]
+            yield _put(batch.slice(a, b - a), out, pa.array(decoded, pa.binary()))
 
 
 def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
@@ -101,41 +146,28 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", out: str
     replaced, all others pass through; every row is encoded by itself, so
     repeated rows repeat and an empty table stays empty.
     """
-    schema, rest = _with(df, out, T.ArrayType(T.IntegerType()))
-
-    @lean
-    def run(batches):
-        own = codec(ranks, pattern)
-        for batch in batches:
-            texts = batch.column(text)
-            sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
-            for a, b in pieces(sizes, SLICE):
-                ids = [own.encode(x) for x in texts[a:b].to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), lists], [*rest, out])
-
-    return df.mapInArrow(run, schema)
+    path = local(df.sparkSession, ranks)
+    return df.mapInArrow(lean(lambda batches: _encoded(batches, codec(path, pattern), text, out)), _with(df, (out, T.ArrayType(T.IntegerType()))))
 
 
 def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``df`` with the bytes that each array of ids stands for, as binary in column ``out``.
 
     A null array gives empty bytes.  Bytes, not text: ids cut inside a
-    character still decode.  An id outside the rank file fails the query.
+    character still decode.  An id outside the rank file, or a null one, fails
+    the query.  A column named like ``out`` is replaced, all others pass
+    through; repeated rows repeat; an array of any length is decoded in parts; an empty table stays empty.
     """
-    schema, rest = _with(df, out, T.BinaryType())
+    path = local(df.sparkSession, ranks)
+    return df.mapInArrow(lean(lambda batches: _decoded(batches, codec(path, pattern), ids, out)), _with(df, (out, T.BinaryType())))
+
+
+def round_trip(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """What ``decode`` makes of what ``encode`` makes of ``df``, in one pass through one worker."""
+    path = local(df.sparkSession, ranks)
 
-    @lean
     def run(batches):
-        own = codec(ranks, pattern)
-        for batch in batches:
-            lists = batch.column(ids)
-            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_pylist()
-            for a, b in pieces(sizes, SLICE // 4):
-                decoded = pa.array([own.decode(x) if x else b"" for x in lists[a:b].to_pylist()], pa.binary())
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), decoded], [*rest, out])
-
-    return df.mapInArrow(run, schema)
+        own = codec(path, pattern)
+        return _decoded(_encoded(batches, own, text, ids), own, ids, out)
+
+    return df.mapInArrow(lean(run), _with(df, (ids, T.ArrayType(T.IntegerType())), (out, T.BinaryType())))

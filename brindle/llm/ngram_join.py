@@ -49,7 +49,7 @@ PERCENT = 75
 #: Bytes a worker looks at together.
 SLICE = 1 << 19
 #: Shingles a task counts at a time, how often one must come up there to be called common, and how many are called so at most (8 MB).
-BLOCK, COMMON, MOST_COMMON = 1 << 20, 8, 1 << 20
+BLOCK, COMMON, MOST_COMMON = 1 << 19, 6, 1 << 20
 #: Prefix elements dealt to a task, about; sets in a trie; classes of a group in a tile, and in a task's tiles, about.
 DEAL, LEAVES, TILE, TILES = 1 << 18, 128, 512, 4096
 #: Bytes of sets that one set meets in a shard, and that a task's shards hold together, about.

@@ -11,9 +11,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..deploy import ship
 from . import bpe, line_dedup, media, mix, ngram_join, quality, suffix_dedup, topk, toxicity, warc
-from .shared import scratch_path, split_mod
+from .shared import prepare, scratch_path, split_mod
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,7 +21,7 @@ ORACLE_SQL: dict[str, str] = {}
 def query(f):
     @wraps(f)
     def run(spark, sf_dir):
-        ship(spark)
+        prepare(spark)
         return f(spark, sf_dir)
 
     QUERIES[f.__name__] = run
@@ -47,10 +46,9 @@ def hexed(data) -> F.Column:
 def token_digests(docs: DataFrame, *carry: str) -> DataFrame:
     """``carry``, n_tokens, ids_sha256 and decoded_sha256 of every row's text, encoded and decoded again."""
     ranks, pattern = tokenizer()
-    ids = bpe.encode(docs.select(*carry, "text"), ranks, pattern).drop("text")
+    both = bpe.round_trip(docs.select(*carry, "text"), ranks, pattern)
     listed = F.concat_ws(",", F.col("token_ids").cast("array<string>"))
-    both = bpe.decode(ids.select(*carry, F.size("token_ids").cast("long").alias("n_tokens"), hexed(listed.cast("binary")).alias("ids_sha256"), "token_ids"), ranks, pattern)
-    return both.select(*carry, "n_tokens", "ids_sha256", hexed(F.col("decoded")).alias("decoded_sha256"))
+    return both.select(*carry, F.size("token_ids").cast("long").alias("n_tokens"), hexed(listed.cast("binary")).alias("ids_sha256"), hexed(F.col("decoded")).alias("decoded_sha256"))
 
 
 @query

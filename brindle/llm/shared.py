@@ -16,10 +16,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
 #: Rows' keys and values up to this many bytes may be broadcast; larger sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 
 
+#: Rows in an Arrow batch to a Python worker, at most: documents are long, and JVM and worker both hold a batch.
+BATCH_ROWS = 500
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the queries want of a session: the package on the workers, and batches of few rows unless the session says otherwise."""
+    ship(spark)
+    if spark.conf.get(key := "spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
