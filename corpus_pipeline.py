@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.deploy import ship
 from brindle.llm import line_dedup, mix, ngram_join, quality
 from brindle.llm.queries import read, token_digests
-from brindle.llm.shared import fresh, remove, sized, table
+from brindle.llm.shared import fresh, prepare, remove, sized, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Repeated rows and equal texts share their lot; texts of any length are
     looked at whole; every column passes, whatever its name (a column score, too); an empty table stays empty.
     """
-    ship(spark)
+    prepare(spark)
     (out,) = fresh(docs, "score")
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     return quality.score(docs, model, *docs.columns, out=out).where(F.col(out) >= 0.5).drop(out)
@@ -36,7 +35,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     site, a null doc_id comes last.  Rows that repeat are treated alike.  Texts
     of any length are split whole; other columns pass, whatever their names; an empty table stays empty.
     """
-    ship(spark)
+    prepare(spark)
     n_lines, n_removed = "n_lines", "n_removed"
     held = [c for c in docs.columns if c.lower() in (n_lines, n_removed)]
     names = dict(zip(held, fresh(docs, *(f"_{c}" for c in held))))  # the operator would replace them
@@ -52,7 +51,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that agree in doc_id and text are one.  Null, empty and blank texts
     are near nothing and all stay.  Texts of any length are compared whole; other columns pass, whatever their names; an empty table stays empty.
     """
-    ship(spark)
+    prepare(spark)
     return ngram_join.keep_one(docs)
 
 
@@ -64,7 +63,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source and size tie and are taken together; a null source is a source of its
     own.  Texts of any length are taken whole; other columns pass, whatever their names; an empty table stays empty.
     """
-    ship(spark)
+    prepare(spark)
     doc, source, size, copies, copy = fresh(docs, "_doc", "_source", "_size", "_copies", "_copy")
     taken = mix.mix(docs).where("copies > 0").select("doc_id", "source", "size", "copies").toDF(doc, source, size, copies)
     taken = sized(table(taken.distinct(), "mix-copies"), 96)
@@ -79,7 +78,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no tokens and the digests of no bytes; texts of
     any length are encoded whole; other columns are left out; an empty table stays empty.
     """
-    ship(spark)
+    prepare(spark)
     return token_digests(docs, "doc_id", "lang", "source")
 
 
