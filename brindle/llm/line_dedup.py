@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, scratch, table
+from .shared import BROADCAST_BYTES, fresh, scratch, table
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 10
@@ -79,7 +79,10 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
     rest = docs.drop("n_lines", "n_removed")
     doc, k, gone, lines, new = fresh(rest, "_doc", "_k", "_gone", "_lines", "_text")
+    n, places = hits.agg(F.count(F.lit(1)), F.sum(F.size("gone"))).first()
     hits = hits.toDF(doc, k, gone)
+    # a row takes about 96 bytes and 8 a line in memory; beyond the bound texts and lists are shuffled
+    hits = F.broadcast(hits) if 96 * n + 8 * (places or 0) <= BROADCAST_BYTES else hits
     out = rest.join(hits, rest["doc_id"].eqNullSafe(hits[doc]) & (F.xxhash64(rest["text"]) == hits[k]), "left")
     # a column that is used more than once, so that it is split once
     out = out.withColumn(lines, lines_of(text))
