@@ -100,10 +100,9 @@ def read_decimal(text: str, kind: Kind, byte: int | None) -> Decimal:
         raise InvalidArgument(f"'{text}' is not a decimal", byte)
     if len(m[3] or "") > kind.scale:
         raise InvalidArgument(f"'{text}' has more than {kind.scale} digits after the point", byte)
-    value = Decimal(text).scaleb(0)
     if len((m[2] + (m[3] or "").ljust(kind.scale, "0")).lstrip("0")) > kind.precision:
         raise OutOfRange(f"'{text}' does not fit {kind}", byte)
-    return value.quantize(Decimal(1).scaleb(-kind.scale))
+    return Decimal(f"{m[1]}{m[2]}.{(m[3] or '').ljust(kind.scale, '0')}")  # no context, so no rounding
 
 
 def read_date(text: str, byte: int | None) -> dt.date:

@@ -33,16 +33,16 @@ def half_even(units: Column, n: Column) -> Column:
     return q + F.when(up, F.when(units < 0, F.lit(-1)).otherwise(F.lit(1))).otherwise(F.lit(0)).cast("bigint")
 
 
-@F.pandas_udf(T.DecimalType(38, 18))
+@F.pandas_udf(T.StringType())
 def _wide_average(total: pd.Series, n: pd.Series, scale: pd.Series) -> pd.Series:
-    """One row a group: exact averages of wide decimals, whose quotients Spark's own division would round."""
+    """One row a group: exact averages of wide decimals, whose quotients Spark's own division would round; as text, which takes any scale."""
 
     def one(t, c, s):
         if t is None or not c:
             return None
         with localcontext() as own:
             own.prec = 80
-            return (Decimal(t) / int(c)).quantize(Decimal(1).scaleb(-int(s)), ROUND_HALF_EVEN)
+            return f"{(Decimal(t) / int(c)).quantize(Decimal(1).scaleb(-int(s)), ROUND_HALF_EVEN):f}"
 
     return pd.Series([one(*x) for x in zip(total, n, scale)], dtype=object)
 
@@ -67,7 +67,7 @@ def column_of(f: Fold, prefix: str) -> tuple[list[Column], Column]:
         return [total(unscaled(c, k)).alias(prefix)], scaled(F.col(prefix), k)
     n = (F.count_distinct(c) if f.distinct else F.count(c)).alias(prefix + "n")
     if k.wide:
-        value = _wide_average(F.col(prefix).cast("decimal(38,18)"), F.col(prefix + "n"), F.lit(k.scale))
+        value = _wide_average(F.col(prefix).cast("string"), F.col(prefix + "n"), F.lit(k.scale))
         return [total(c).alias(prefix), n], value.cast(T.DecimalType(k.precision, k.scale))
     value = F.when(F.col(prefix + "n") > 0, half_even(F.col(prefix), F.col(prefix + "n")))
     return [total(unscaled(c, k)).alias(prefix), n], scaled(value, k).cast(T.DecimalType(k.precision, k.scale))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.chain import Block, NullTest, Ref, Sub, Test
@@ -19,6 +19,8 @@ _OPS = {
     "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b,
     "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
 }
+#: The largest number that Spark's LIMIT and OFFSET take.
+INT = 2**31 - 1
 TOO_MANY = "a scalar subquery returned more than one row"
 
 
@@ -33,6 +35,11 @@ def condition(t) -> Column:
     return _OPS[t.op](c, F.lit(t.value).cast(t.ref.kind.spark) if not t.ref.kind.is_int else F.lit(t.value))
 
 
+def whole(n: int) -> Column:
+    """A number of up to 64 bits without a sign."""
+    return F.lit(str(n)).cast("decimal(20,0)")
+
+
 def both(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
@@ -133,6 +140,21 @@ class Lowering:
     def unique(self, table: str) -> bool:
         return getattr(self, "keyed", lambda t: True)(table)
 
+    def page(self, frame: DataFrame, offset: int, limit: int | None) -> DataFrame:
+        """Rows ``offset`` to ``offset + limit`` of a sorted frame, where the numbers are beyond what Spark's own operators take.
+
+        The sorted partitions are written with each row's place in its own; the
+        rows before a partition are the sum of a count for each one before it.
+        """
+        place, kept = "_place", frame.columns
+        frame = self.scratch(frame.withColumn(place, F.monotonically_increasing_id()))
+        part = F.shiftright(place, 33)
+        before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+        counts = frame.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+        nth = F.col(place).bitwiseAND((1 << 33) - 1) + F.col("before")
+        inside = (nth >= whole(offset)) if limit is None else (nth >= whole(offset)) & (nth - whole(offset) < whole(limit))
+        return frame.join(F.broadcast(counts), part == F.col("part")).where(inside).orderBy(place).select(*kept)
+
     def rows(self, block: Block, emitted: bool = False) -> DataFrame:
         """The result, columns by position o0, o1, ...; ordered where the order can be told."""
         frame = self.frame(block)
@@ -140,8 +162,9 @@ class Lowering:
             return fold(frame, block.folds, block.group, self.max_groups, self.scratch)
         if block.order or block.limit is not None or block.offset or emitted:
             frame = frame.orderBy(*self.order(block, frame))
-        if block.offset:
-            frame = frame.offset(min(block.offset, 2**31 - 1))
-        if block.limit is not None:
-            frame = frame.limit(min(block.limit, 2**31 - 1))
+        if max(block.offset or 0, block.limit or 0) > INT:
+            frame = self.page(frame, block.offset or 0, block.limit)
+        else:
+            frame = frame.offset(block.offset) if block.offset else frame
+            frame = frame.limit(block.limit) if block.limit is not None else frame
         return frame.select(*(F.col(r.at).alias(f"o{i}") for i, (r, _) in enumerate(block.output)))

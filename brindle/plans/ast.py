@@ -25,6 +25,7 @@ class Literal:
     quoted: bool
     byte: int
     named: str | None = None
+    kind: object = None  # a parameter's declared type
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,10 @@ class Column:
     nullable: bool = False
     references: str | None = None
     policy: str | None = None
+    stored: str = ""  # its name in files, which no renaming changes
+
+    def __post_init__(self):
+        self.stored = self.stored or self.name
 
 
 @dataclass
@@ -49,6 +54,7 @@ class Relation:
     versions: list[tuple[str, ...]] = field(default_factory=lambda: [()])
     dead: list[tuple[str, ...]] = field(default_factory=lambda: [()])  # keys of deleted rows, by version
     written: list[set[int] | None] = field(default_factory=lambda: [set()])  # keys each version changed
+    batches: dict[str, int] = field(default_factory=dict)  # the last micro-batch of each stream that is in the rows
 
     @property
     def key(self) -> str:
@@ -64,7 +70,15 @@ class Relation:
     def read(self, spark: SparkSession, files: tuple[str, ...]) -> DataFrame:
         if self.view is not None:
             return self.view
-        return spark.read.schema(self.schema).parquet(*files) if files else spark.createDataFrame([], self.schema)
+        if not files:
+            return spark.createDataFrame([], self.schema)
+        kept = T.StructType([T.StructField(c.stored, c.kind.spark, True) for c in self.columns])
+        return spark.read.schema(kept).parquet(*files).toDF(*(c.name for c in self.columns))
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        """Rows, or their keys alone, under the names they have in files."""
+        names = {c.name: c.stored for c in self.columns}
+        return df.toDF(*(names[c] for c in df.columns))
 
 
 class Catalog:
@@ -72,36 +86,56 @@ class Catalog:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.relations: dict[str, Relation] = {}
+        self._relations: dict[str, Relation] = {}
+        self._unread: dict[str, Callable[[], None]] = {}  # declared, not opened yet
         self.assertions: dict[str, Assertion] = {}
         self.patterns: dict[str, dict] = {}
         self.next_oid = 4096
 
+    @property
+    def relations(self) -> dict[str, Relation]:
+        """All of them; opens those that are only declared."""
+        for name in list(self._unread):
+            self._unread.pop(name)()
+        return self._relations
+
     def find(self, name: str) -> Relation | None:
-        return self.relations.get(name.lower())
+        if name.lower() in self._unread:
+            self._unread.pop(name.lower())()
+        return self._relations.get(name.lower())
 
     def oid(self) -> int:
         self.next_oid += 1
         return self.next_oid - 1
 
-    def register(self, name: str, df: DataFrame, unique: bool = True, storage: str = "btree") -> Relation:
-        """An outside DataFrame as a relation; its first column is the key.  Doubles become decimal(15,2), exactly read."""
+    def register(self, name: str, df: DataFrame, unique: bool = True, storage: str = "btree", scale: int = 2, oid: int | None = None) -> Relation:
+        """An outside DataFrame as a relation; its first column is the key.
+
+        Doubles are read as decimal(15, ``scale``) and must be the nearest
+        doubles to such decimals: another value fails the statement that reads
+        it.  A column of a type outside the dialect is refused; select the others first.
+        """
         columns, chosen = [], []
         for f in df.schema.fields:
-            try:
+            column = F.col(f"`{f.name}`")
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+                kind = Kind("decimal", 15, scale)
+                wide = column.cast("double")
+                exact = F.rint(wide * 10**scale) / 10**scale == wide
+                column = F.when(exact | wide.isNull(), wide.cast(kind.spark)).otherwise(F.raise_error(F.lit(f"a value of {name}.{f.name} has more than {scale} digits after the point")).cast(kind.spark))
+            else:
                 kind = kind_from_spark(f.dataType)
-            except Exception:  # noqa: BLE001  types outside the dialect aren't seen
-                continue
             columns.append(Column(f.name, kind, f.nullable and bool(columns)))
-            chosen.append(F.col(f"`{f.name}`").cast(kind.spark).alias(f.name))
-        out = Relation(self.oid(), name, columns, storage, "explicit", df.select(*chosen), unique)
-        self.relations[name.lower()] = out
+            chosen.append(column.cast(kind.spark).alias(f.name))
+        out = Relation(oid or self.oid(), name, columns, storage, "explicit", df.select(*chosen), unique)
+        self._relations[name.lower()] = out
         return out
 
     def parquet(self, folder: str, *names: str, unique: dict[str, bool] | None = None) -> None:
-        """Register ``folder``/name.parquet for each name."""
+        """Declare ``folder``/name.parquet for each name; a file is opened when a statement first names it."""
         for n in names:
-            self.register(n, self.spark.read.parquet(f"{folder}/{n}.parquet"), (unique or {}).get(n, True))
+            open_ = lambda n=n, oid=self.oid(): self.register(n, self.spark.read.parquet(f"{folder}/{n}.parquet"), (unique or {}).get(n, True), oid=oid)
+            self._unread[n.lower()] = open_
 
     # ---- views of the catalog itself
     def view(self, name: str) -> DataFrame | None:

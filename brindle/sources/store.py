@@ -37,17 +37,18 @@ class Store:
         self.spark, self.folder = spark, folder
         self.pending: list[dict[str, Pending]] = []  # of all open transactions
 
-    def write(self, df: DataFrame) -> str:
+    def write(self, df: DataFrame, rel: Relation | None = None) -> str:
+        """The path of ``df``'s rows; ``rel``: they are rows or keys of that relation."""
         path = f"{self.folder.rstrip('/')}/brindle-rows/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        (rel.stored(df) if rel else df).write.parquet(path)
         return path
 
     def keep(self, df: DataFrame) -> DataFrame:
         return self.spark.read.schema(df.schema).parquet(self.write(df))
 
     def keys(self, rel: Relation, files) -> DataFrame:
-        schema = T.StructType([T.StructField(rel.key, rel.columns[0].kind.spark)])
-        return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
+        schema = T.StructType([T.StructField(rel.columns[0].stored, rel.columns[0].kind.spark)])
+        return (self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)).toDF(rel.key)
 
     def seen(self, rel: Relation, version: int, own: Pending | None) -> DataFrame:
         """The rows of a version under a transaction's own changes."""
@@ -57,11 +58,16 @@ class Store:
         return df.unionByName(rel.read(self.spark, tuple(own.added))) if own and own.added else df
 
     def used_keys(self, rel: Relation, own: Pending | None) -> DataFrame:
-        """Keys that can't be used again: of live rows, of deleted ones, and of rows other transactions are adding."""
+        """Keys that can't be used again: of live rows and of deleted ones."""
         live = self.seen(rel, len(rel.versions) - 1, own).select(rel.key)
         dead = self.keys(rel, [*rel.dead[-1], *(own.dead if own else ())])
         return live.unionByName(dead)
 
+    def added_elsewhere(self, rel: Relation, own: dict) -> DataFrame:
+        """Keys of rows that other open transactions are adding."""
+        name = rel.name.lower()
+        return self.keys(rel, [f for p in self.pending if p is not own and name in p for f in p[name].added])
+
     def conflicts(self, rel: Relation, keys: DataFrame, snapshot: int, own: dict) -> None:
         """First updater wins: keys changed since the snapshot, or being changed by an open transaction, are refused."""
         name = rel.name.lower()
@@ -80,8 +86,14 @@ class Store:
             if rel is None or not (p.added or p.removed):
                 continue
             newest = rel.versions[-1]
+            if rel.mode == "explicit" and p.added and len(rel.versions) - 1 > p.base:
+                # others have committed since: the keys must still be new
+                taken = rel.read(self.spark, tuple(p.added)).select(rel.key).join(self.keys(rel, p.removed), rel.key, "left_anti")
+                taken = taken.join(rel.read(self.spark, newest).select(rel.key), rel.key, "left_semi").first()
+                if taken:
+                    raise TxnConflict(f"row id={taken[0]} was added by another transaction")
             if p.removed or len(newest) + len(p.added) > MOST_FILES:
-                files = (self.write(self.seen(rel, len(rel.versions) - 1, p)),)
+                files = (self.write(self.seen(rel, len(rel.versions) - 1, p), rel),)
             else:
                 files = (*newest, *p.added)
             rel.versions.append(files)

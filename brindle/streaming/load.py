@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, ResourceExhausted
+from ..functions.types import KEY_MAX, TEXT_MAX
 from ..session import Session
 
 #: Bytes of a chunk, and chunks in flight.
@@ -51,15 +55,26 @@ class Load:
 def from_stream(stream: DataFrame, session: Session, table: str, checkpoint: str):
     """A streaming query that appends each micro-batch to an EXPLICIT relation, a transaction a batch.
 
-    A batch that is replayed after a failure is known by its id and not applied twice.
+    A batch that is replayed after a failure, or after the query was started
+    again, is known by its checkpoint and id, which the relation keeps beside
+    the rows, and is not applied twice.  Keys, NULLs and texts are held to what INSERT asks of them.
     """
     rel = session.writable(table, 0)
-    done: set[int] = set()
+    if rel.mode != "explicit":
+        raise InvalidArgument(f"'{table}' assigns its keys; a stream brings them")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch_id not in done:
-            rows = batch.select(*(batch[c.name].cast(c.kind.spark).alias(c.name) for c in rel.columns))
-            session.change(rel, lambda own: session.insert_frame(rel, rows, own))
-            done.add(batch_id)
+        if batch_id <= rel.batches.get(checkpoint, -1):
+            return
+        rows = batch.select(*(batch[c.name].cast(c.kind.spark).alias(c.name) for c in rel.columns))
+        key = F.col(rel.key)
+        wrong = [key.isNull() | ~key.between(1, KEY_MAX)]
+        wrong += [F.col(c.name).isNull() for c in rel.columns[1:] if not c.nullable]
+        wrong += [F.octet_length(c.name) > TEXT_MAX for c in rel.columns if c.kind.name == "varchar"]
+        bad = rows.where(reduce(lambda a, b: a | b, (F.coalesce(w, F.lit(False)) for w in wrong))).first()
+        if bad:
+            raise InvalidArgument(f"row {bad[0]} of batch {batch_id} doesn't fit '{table}'")
+        session.change(rel, lambda own: session.insert_frame(rel, rows, own))
+        rel.batches[checkpoint] = batch_id
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
