@@ -1,13 +1,20 @@
 """The registered queries against DuckDB where SQL says them, and the pipeline's stages against brute force."""
 
 import collections
+import hashlib
+import zlib
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
+import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from brindle.llm import bpe, media, quality, toxicity
 from brindle.llm import queries as Q
-from tests.llm.test_llm import components_by_force, lines_by_force
+from tests.llm.test_llm import components_by_force, lines_by_force, spans_by_force
 from tests.test_entry import SF, same
 
 #: With enough labels for the classifier to be judged.
@@ -58,4 +65,88 @@ def test_pipeline_stages(spark):
     assert max(copies.values()) <= 3 and set(copies) <= {r.doc_id for r in before}
     words = lambda rows: sum(len(r.text.split()) for r in rows)
     assert abs(words(after) - words(before)) < 0.1 * words(before)
-    assert len(stage["tokens"][1]) == len(after)
+    tokens = stage["tokens"][1]
+    assert len(tokens) == len(after)
+    assert collections.Counter((r.doc_id, r.decoded_sha256) for r in tokens) == collections.Counter((r.doc_id, sha(r.text.encode())) for r in after)
+    # the whole run is the stages one after the other
+    assert collections.Counter(P.run(spark, LABELLED).collect()) == collections.Counter(tokens)
+
+
+# ---- registered queries that SQL can't say, whole, by brute force
+def documents():
+    return pd.read_parquet(f"{SF}/documents.parquet")
+
+
+def sha(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def test_op1_rows(spark):
+    ranks, pattern = Q.tokenizer()
+    own = tiktoken.Encoding("test", pat_str=pattern, mergeable_ranks=bpe.read_ranks(ranks), special_tokens={})
+    want = []
+    for i, t in documents()[["doc_id", "text"]].itertuples(index=False):
+        ids = own.encode_ordinary(t or "")
+        want.append((i, len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())))
+    assert sorted(tuple(r) for r in Q.QUERIES["op1_bpe"](spark, SF).collect()) == sorted(want)
+
+
+def test_op2_rows(spark):
+    got = {r.doc_id: r for r in Q.QUERIES["op2_media"](spark, SF).collect()}
+    docs = documents()
+    assert len(got) == len(docs)
+    for i, t in docs[["doc_id", "text"]].itertuples(index=False):
+        data = (t or "").encode()
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), sha(payload), zlib.crc32(payload[-64:]))
+        image = media.to_png(payload)
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(image), sha(image), media.feature(payload))
+
+
+def test_op9_rows(spark):
+    rows = list(documents()[["doc_id", "text"]].itertuples(index=False, name=None))
+    want = sorted((i, n, sum(b - a for a, b in zip(edges[::2], edges[1::2])), len(edges) // 2, sha(kept)) for (i, n, edges, kept), times in spans_by_force(rows, 400).items() for _ in range(times))
+    assert sorted(tuple(r) for r in Q.QUERIES["op9_suffix_dedup"](spark, SF).collect()) == want
+
+
+@pytest.mark.parametrize("name, module, label, cut", [("op7_toxicity", toxicity, "toxic", 0.7), ("op10_quality", quality, "quality", 0.5)])
+def test_classifier_rows(spark, name, module, label, cut):
+    """Of every document: its fold, a score that the model gives its text alone, and the cut."""
+    docs, labels = (spark.read.parquet(f"{LABELLED}/{t}.parquet") for t in ("documents", "labels"))
+    model = module.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    given = [texts[i] for i in ids]
+    scores = model.score(given) if module is toxicity else model.score(np.array([quality.describe(t) for t in given]))
+    want = [(i, zlib.crc32(str(i).encode()) % 3 == 1, round(float(s), 9), int(s >= cut)) for i, s in zip(ids, scores)]
+    got = sorted((r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in Q.QUERIES[name](spark, LABELLED).collect())
+    assert got == want
+
+
+EDGES = [(1, None, "s"), (2, "", None), (None, "one two three four five six", "s"), (3, "same line\n" * 3 + "x", "s"), (3, "same line\n" * 3 + "x", "s"), (4, " \n\t", "t"), (5, "word " * 20_000, "t"), (6, "w" * 50_000, "t")]
+
+
+@pytest.mark.parametrize("name, stage", P.STAGES)
+def test_stage_edges(spark, name, stage):
+    """Nulls, blanks, very long texts, repeated rows, columns with the names that operators use, and no rows."""
+    more = ["score", "copies", "n_lines", "n_removed", "_doc", "_k", "_source", "_size", "k", "n", "cls", "root", "rank", "spans", "_lines"]
+    df = spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in EDGES], "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.withColumns({c: F.lit(c) for c in more})
+    for docs in (df, df.limit(0)):
+        out = stage(spark, docs, LABELLED)
+        rows = out.collect()
+        if name == "tokens":
+            assert len(rows) == docs.count() and out.columns == ["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256"]
+            continue
+        assert out.columns == docs.columns and all(r[c] == c for r in rows for c in more)
+        given = collections.Counter((r.doc_id, r.text) for r in docs.collect())
+        kept = collections.Counter((r.doc_id, r.text) for r in rows)
+        if name == "lines":
+            assert kept == given  # no line is spread over ten sites
+        elif name == "near_duplicates":
+            assert kept == collections.Counter(dict.fromkeys(given, 1))
+        elif name == "mix":
+            assert all(n <= 3 * given[k] for k, n in kept.items())
+        else:
+            assert not kept - given
