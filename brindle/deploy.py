@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -15,7 +17,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_brindle_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="brindle-ship-"), "brindle.zip")
+    folder_ = tempfile.mkdtemp(prefix="brindle-ship-")
+    atexit.register(shutil.rmtree, folder_, ignore_errors=True)  # the driver serves the file till then
+    path = os.path.join(folder_, "brindle.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
         for folder, _, names in os.walk(top):
             for name in names:

@@ -50,9 +50,14 @@ class Lowering:
     def __init__(self, read, scratch, max_groups: int | None = None):
         self.read, self.scratch, self.max_groups = read, scratch, max_groups
 
+    def narrowed(self, table: str, bounds: list[tuple[str, str, object]]) -> DataFrame:
+        """The relation's rows, or fewer if the bounds (column, operator, value) tell early which fail."""
+        return self.read(table)
+
     # ---- frames
     def scan(self, block: Block, slot: int) -> DataFrame:
-        df = self.read(block.slots[slot].table)
+        bounds = [(t.ref.name, t.op, t.value) for t in block.tests if isinstance(t, Test) and t.other is None and not t.never and (t.ref.level, t.ref.slot) == (block.level, slot)]
+        df = self.narrowed(block.slots[slot].table, bounds) if bounds else self.read(block.slots[slot].table)
         return df.select(*(F.col(f"`{c}`").alias(f"c{block.level}_{slot}_{c}") for c in df.columns))
 
     def own(self, block: Block) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column as Column_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +55,8 @@ class Relation:
     versions: list[tuple[str, ...]] = field(default_factory=lambda: [()])
     dead: list[tuple[str, ...]] = field(default_factory=lambda: [()])  # keys of deleted rows, by version
     written: list[set[int] | None] = field(default_factory=lambda: [set()])  # keys each version changed
+    source: DataFrame | None = None  # of a view: its rows before doubles become decimals
+    doubles: dict[str, int] = field(default_factory=dict)  # those columns, and their scales
     batches: dict[str, int] = field(default_factory=dict)  # the last micro-batch of each stream that is in the rows
 
     @property
@@ -75,12 +78,39 @@ class Relation:
         kept = T.StructType([T.StructField(c.stored, c.kind.spark, True) for c in self.columns])
         return spark.read.schema(kept).parquet(*files).toDF(*(c.name for c in self.columns))
 
+    def narrowed(self, bounds: list[tuple[str, str, object]]) -> DataFrame:
+        """The rows of a view, most of those left out that fail a bound (column, operator, value) on a column that the files hold as doubles.
+
+        The bound is widened by half a unit, so that it is safe, and reaches the
+        scan as a filter on the double; the exact test is still to be made.
+        """
+        rows = self.source
+        for name, op, value in bounds:
+            half = 0.5 * 10.0 ** -self.doubles[name]
+            if op in ("=", ">", ">="):
+                rows = rows.where(F.col(f"`{name}`") >= float(value) - half)
+            if op in ("=", "<", "<="):
+                rows = rows.where(F.col(f"`{name}`") <= float(value) + half)
+        return rows.select(*self.view_columns)
+
+    @property
+    def view_columns(self) -> list[Column_]:
+        return [exact(self.name, c.name, self.doubles[c.name]) if c.name in self.doubles else F.col(f"`{c.name}`").cast(c.kind.spark).alias(c.name) for c in self.columns]
+
     def stored(self, df: DataFrame) -> DataFrame:
         """Rows, or their keys alone, under the names they have in files."""
         names = {c.name: c.stored for c in self.columns}
         return df.toDF(*(names[c] for c in df.columns))
 
 
+def exact(relation: str, column: str, scale: int) -> Column_:
+    """A double as decimal(15, scale); one that isn't the nearest to such a decimal fails the statement."""
+    wide = F.col(f"`{column}`").cast("double")
+    same = F.rint(wide * 10**scale) / 10**scale == wide
+    kind = f"decimal(15,{scale})"
+    return F.when(same | wide.isNull(), wide.cast(kind)).otherwise(F.raise_error(F.lit(f"a value of {relation}.{column} has more than {scale} digits after the point")).cast(kind)).alias(column)
+
+
 class Catalog:
     """Relations by name, without regard to case, and what is declared over them."""
 
@@ -115,19 +145,16 @@ class Catalog:
         doubles to such decimals: another value fails the statement that reads
         it.  A column of a type outside the dialect is refused; select the others first.
         """
-        columns, chosen = [], []
+        columns, doubles = [], {}
         for f in df.schema.fields:
-            column = F.col(f"`{f.name}`")
             if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
                 kind = Kind("decimal", 15, scale)
-                wide = column.cast("double")
-                exact = F.rint(wide * 10**scale) / 10**scale == wide
-                column = F.when(exact | wide.isNull(), wide.cast(kind.spark)).otherwise(F.raise_error(F.lit(f"a value of {name}.{f.name} has more than {scale} digits after the point")).cast(kind.spark))
+                doubles[f.name] = scale
             else:
                 kind = kind_from_spark(f.dataType)
             columns.append(Column(f.name, kind, f.nullable and bool(columns)))
-            chosen.append(column.cast(kind.spark).alias(f.name))
-        out = Relation(oid or self.oid(), name, columns, storage, "explicit", df.select(*chosen), unique)
+        out = Relation(oid or self.oid(), name, columns, storage, "explicit", None, unique, source=df, doubles=doubles)
+        out.view = df.select(*out.view_columns)
         self._relations[name.lower()] = out
         return out
 

@@ -43,6 +43,15 @@ class Store:
         (rel.stored(df) if rel else df).write.parquet(path)
         return path
 
+    def sizes(self, paths) -> list[int]:
+        """Bytes of each data file below the paths."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        out = []
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            out += [x.getLen() for x in path.getFileSystem(conf).listStatus(path) if x.getPath().getName().startswith("part-")]
+        return out
+
     def keep(self, df: DataFrame) -> DataFrame:
         return self.spark.read.schema(df.schema).parquet(self.write(df))
 

@@ -173,6 +173,47 @@ def test_group_cap(spark):
         s.execute("SELECT v, COUNT(*) FROM g GROUP BY v")
 
 
+def test_limits_refuse(spark):
+    s = Engine(spark, options=Options(sort_max_rows=3, max_distinct=2, max_touched=9)).session()
+    s.execute("CREATE TABLE g (id int64, v int64)")
+    s.execute("INSERT INTO g VALUES (1), (2), (3), (3)")
+    with pytest.raises(E.ResourceExhausted, match="sort 4 rows"):
+        s.execute("SELECT v FROM g ORDER BY v")
+    assert rows(s, "SELECT v FROM g WHERE v < 3 ORDER BY v") == [(1,), (2,)]
+    with pytest.raises(E.ResourceExhausted, match="3 entries"):
+        s.execute("SELECT COUNT(DISTINCT v) FROM g")
+    assert rows(s, "SELECT COUNT(DISTINCT v) FROM g WHERE v > 1") == [(2,)]
+    with pytest.raises(E.ResourceExhausted, match="looks at 12 rows"):
+        s.execute("SELECT v FROM g WHERE v IN (SELECT v FROM g WHERE EXISTS (SELECT id FROM g))")
+    # a lookup by key looks at one row
+    assert rows(s, "SELECT v FROM g WHERE v IN (SELECT v FROM g WHERE EXISTS (SELECT id FROM g WHERE id = 1))") == [(1,), (2,), (3,), (3,)]
+
+
+def test_reports_count_what_is_there(spark):
+    s = Engine(spark).session()
+    s.execute("CREATE TABLE g (id int64, v int64)")
+    for n in range(3):
+        s.execute(f"INSERT INTO g VALUES ({n}), (9)")
+    assert s.execute("SHOW RELAYOUT").df.first()["blocked"] == "never walked"
+    report = s.reply("ANALYZE SELECT id FROM g WHERE v = 9")
+    assert report.startswith("rows=3 ") and "examined=6" in report
+    assert "examined=1" in s.reply("ANALYZE SELECT v FROM g WHERE id = 2")
+    s.execute("SELECT id FROM g WHERE v = 9")
+    r = s.execute("SHOW RELAYOUT").df.first()
+    assert r["files"] == sum(s.store.sizes((p,)) != [] and len(s.store.sizes((p,))) for p in s.catalog.find("g").versions[-1]) > r["files_after"] == 1 and r["benefit"] > 0 and r["blocked"] is None
+
+
+def test_bounds_on_doubles_reach_the_files(spark, tmp_path):
+    spark.createDataFrame([(i, i / 100) for i in range(1000)], "id long, v double").write.parquet(str(tmp_path / "d.parquet"))
+    engine = Engine(spark)
+    engine.catalog.parquet(str(tmp_path), "d")
+    s = engine.session()
+    df = s.execute("SELECT id FROM d WHERE v > 1.23 AND v <= 1.26").df
+    assert sorted(r[0] for r in df.collect()) == [124, 125, 126]
+    pushed = df._jdf.queryExecution().executedPlan().toString().split("PushedFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(v" in pushed and "LessThanOrEqual(v" in pushed
+
+
 def test_literals():
     d = Kind("decimal", 6, 2)
     assert coerce("12.34", True, d) == Decimal("12.34")
