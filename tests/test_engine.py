@@ -483,6 +483,37 @@ def test_loads(spark, tmp_path):
     assert len(rows(s, "SELECT id FROM t")) == 7
 
 
+def test_observed_values_and_trails_serve(spark):
+    """Cabins and trails read fewer rows, at the version they were recorded at, and change none."""
+    engine = Engine(spark)
+    s = engine.session()
+    s.execute("CREATE TABLE t (id int64, v int64, w varchar CABIN) BTREE")
+    s.execute("INSERT INTO t VALUES (1,'a'), (2,'b'), (3,'a'), (4,'c')")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    q = "SELECT v FROM t WHERE w = 'a'"
+    s.execute("SET CABIN_OPTIMIZER off")
+    assert rows(s, q) == [(1,), (3,)] and not engine.values.values
+    s.execute("SET CABIN_OPTIMIZER on")
+    assert rows(s, q) == [(1,), (3,)] and list(engine.values.values.values()) == [{1, 3}]
+    assert "id#" in plan(s.execute(q).df) and " IN (1,3)" in plan(s.execute(q).df)
+    assert rows(s, "SELECT v FROM t WHERE w = 'z'") == [] and rows(s, "SELECT v FROM t WHERE w = 'z'") == []
+    s.execute("INSERT INTO t VALUES (5,'a')")
+    assert rows(s, q) == [(1,), (3,), (5,)]
+    s.execute("BEGIN")
+    s.execute("UPDATE t SET w = 'a' WHERE v = 2")
+    assert rows(s, q) == [(1,), (2,), (3,), (5,)]
+    s.execute("ROLLBACK")
+    assert rows(s, q) == [(1,), (3,), (5,)]
+    # a trail: from the second sighting
+    q = "SELECT w FROM t WHERE v > 3"
+    for served in (False, True, True):
+        df = s.execute(q).df
+        assert sorted(r[0] for r in df.collect()) == ["a", "c"] and (" IN (4,5)" in plan(df)) == served
+    assert rows(s, "SELECT w FROM t WHERE v > 4") == [("a",)]
+    s.execute("DELETE FROM t WHERE v = 4")
+    assert rows(s, q) == [("a",)] and rows(s, q) == [("a",)]
+
+
 def test_advice_changes_no_row(spark, s):
     q = "SELECT label FROM ferry WHERE hull = 'steel'"
     before = rows(s, q)
