@@ -514,6 +514,28 @@ def test_observed_values_and_trails_serve(spark):
     assert rows(s, q) == [("a",)] and rows(s, q) == [("a",)]
 
 
+def test_optimizer_makes_and_drops_cabins(spark, monkeypatch):
+    """Scans of one column that last make a cabin; when they have stopped for long, it goes."""
+    engine = Engine(spark)
+    engine.optimizer.policy = O.Policy(amortised=O.ONE, confirm=2, cooldown=2, half_life=10)
+    s = engine.session()
+    s.execute("CREATE TABLE t (id int64, v int64, w varchar) BTREE")
+    s.execute("INSERT INTO t VALUES (1,'a'), (2,'b')")
+    monkeypatch.setattr(engine.store, "sizes", lambda paths: [40 * 8192])
+    q = "SELECT v FROM t WHERE w = 'a'"
+    for _ in range(10):
+        assert rows(s, q) == [(1,)]
+    now = max(engine.access.last.values())
+    assert s.tune(now) == [] and [(a.what, a.reason) for a in s.tune(now + 1)] == [("CREATE", "sustained-benefit")]
+    assert list(s.catalog.find("t").cabins) == ["w"] and s.execute("SHOW CABIN_OPTIMIZER").df.first()["state"] == "active"
+    assert rows(s, q) == [(1,)] and {1} in engine.values.values.values()
+    late = now + 10**9 * engine.options.half_life_s * 40
+    assert s.tune(late) == [] and [a.reason for a in s.tune(late + 100)] == ["sustained-decay"]
+    assert not s.catalog.find("t").cabins and rows(s, q) == [(1,)]
+    s.execute("SET CABIN_OPTIMIZER off")
+    assert s.tune() == []
+
+
 def test_advice_changes_no_row(spark, s):
     q = "SELECT label FROM ferry WHERE hull = 'steel'"
     before = rows(s, q)
