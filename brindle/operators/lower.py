@@ -86,47 +86,79 @@ class Lowering:
         b = s.block
         deep = any(x.block.outermost < b.level or (x.ref is not None and x.ref.level < b.level) for x in b.subs)
         equal = all(isinstance(t, Test) and t.op == "=" and t.ref.level == b.level and not t.never for t in b.links)
-        if deep or not equal and (s.kind == "scalar" or s.negated and s.kind == "in"):
+        if deep or not equal and s.kind == "scalar":
             return self.unnested(frame, s)
         inner = self.frame(b)
         if s.kind == "exists":
-            if not b.links:
-                inner = inner.select(F.lit(1).alias("one")).limit(1)
-            return frame.join(inner, both(map(condition, b.links)), "left_anti" if s.negated else "left_semi")
-        value = F.col(b.output[0][0].at)
-        keys = [F.col(t.ref.at) for t in b.links]
+            return self.linked(frame, inner, b, s.negated)
+        value, ref = F.col(b.output[0][0].at), F.col(s.ref.at)
+        keys = [F.col(n) for n in dict.fromkeys(t.ref.at for t in b.links)]
         link = both(map(condition, b.links))
         if s.kind == "in" and not s.negated:
-            return frame.join(inner, link & (F.col(s.ref.at) == value), "left_semi")
+            return frame.join(inner, link & (ref == value), "left_semi")
+        if s.kind == "in" and not equal:
+            # no linked row that is equal, none that is null, and for a null no linked row at all
+            out = frame.join(inner, link & (ref == value), "left_anti")
+            if b.output[0][0].nullable:
+                out = self.linked(out, inner.where(value.isNull()), b, True)
+            if s.ref.nullable:
+                out = out.where(ref.isNotNull()).unionByName(self.linked(frame.where(ref.isNull()), inner, b, True))
+            return out
         if s.kind == "in":
             # NOT IN: no row equal; and, unless the set is empty, no null on either side
             flags = inner.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(value.isNull(), 1)).alias("_nulls"))
-            frame = frame.join(inner.where(value.isNotNull()), link & (F.col(s.ref.at) == value), "left_anti")
+            frame = frame.join(inner.where(value.isNotNull()), link & (ref == value), "left_anti")
             kept = frame.columns
             frame = frame.join(flags, link, "left") if keys else frame.crossJoin(F.broadcast(flags))  # one row
             empty = F.coalesce(F.col("_n"), F.lit(0)) == 0
-            return frame.where(empty | (F.col(s.ref.at).isNotNull() & (F.col("_nulls") == 0))).select(*kept)
+            return frame.where(empty | (ref.isNotNull() & (F.col("_nulls") == 0))).select(*kept)
         single = F.when(F.col("_n") > 1, F.raise_error(F.lit(TOO_MANY)).cast(b.output[0][0].kind.spark)).otherwise(F.col("_v"))
         flags = inner.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(value).alias("_v"))
         kept = frame.columns
         frame = frame.join(flags, link) if keys else frame.crossJoin(F.broadcast(flags))  # one row
         return frame.where(_OPS[s.op](F.col(s.ref.at), single)).select(*kept)
 
+    def linked(self, frame: DataFrame, inner: DataFrame, b: Block, negated: bool) -> DataFrame:
+        """The frame's rows that some row of ``inner`` is linked with; ``negated``: those that none is.
+
+        If a single link isn't an equality, the least and the largest of its
+        column tell, for each value of the others: no pairs are formed.
+        """
+        how = "left_anti" if negated else "left_semi"
+        if not b.links:
+            inner = inner.select(F.lit(1).alias("_one")).limit(1)
+        told = all(isinstance(t, Test) and t.other is not None and not t.never and t.ref.level == b.level for t in b.links)
+        ranged = [t for t in b.links if isinstance(t, Test) and t.op != "="]
+        if not told or len(ranged) != 1:
+            return frame.join(inner, both(map(condition, b.links)), how)
+        (t,), equal = ranged, [x for x in b.links if x.op == "="]
+        keys = dict.fromkeys(x.ref.at for x in equal)
+        ends = inner.groupBy(*keys).agg(F.min(t.ref.at).alias("_least"), F.max(t.ref.at).alias("_most"))
+        outer, least, most = F.col(t.other.at), F.col("_least"), F.col("_most")
+        test = {"<": least < outer, "<=": least <= outer, ">": most > outer, ">=": most >= outer, "!=": (least != outer) | (most != outer)}[t.op]
+        return frame.join(ends if keys else F.broadcast(ends), both(map(condition, equal)) & test, how)  # without keys one row
+
     def unnested(self, frame: DataFrame, s: Sub) -> DataFrame:
         """Any nesting: the outer frame's rows get an id, are joined with the block's, and are judged by what is left."""
         b, kept = s.block, frame.columns
         rid = f"_rid{b.level}"
         # the id must be the same on every branch: kept in the shared folder
         frame = self.scratch(frame.withColumn(rid, F.monotonically_increasing_id()))
-        wide = self.apply(frame.join(self.own(b), both(map(condition, b.links)), "inner"), b)
+        link, inner = both(map(condition, b.links)), self.own(b)
         if s.kind == "exists":
+            wide = self.apply(frame.join(inner, link, "inner"), b)
             return frame.join(wide.select(rid).distinct(), rid, "left_anti" if s.negated else "left_semi").select(*kept)
         value, ref = F.col(b.output[0][0].at), F.col(s.ref.at)
-        if s.kind == "in" and not s.negated:
-            return frame.join(wide.where(ref == value).select(rid).distinct(), rid, "left_semi").select(*kept)
         if s.kind == "in":
-            bad = wide.where((ref == value) | ref.isNull() | value.isNull()).select(rid).distinct()
-            return frame.join(bad, rid, "left_anti").select(*kept)
+            # pairs that are equal and, for NOT IN, those with a null on either side
+            pairs = frame.join(inner, link & (ref == value), "inner")
+            if s.negated and b.output[0][0].nullable:
+                pairs = pairs.unionByName(frame.join(inner.where(value.isNull()), link, "inner"))
+            if s.negated and s.ref.nullable:
+                pairs = pairs.unionByName(frame.where(ref.isNull()).join(inner.where(value.isNotNull()), link, "inner"))
+            hit = self.apply(pairs, b).select(rid).distinct()
+            return frame.join(hit, rid, "left_anti" if s.negated else "left_semi").select(*kept)
+        wide = self.apply(frame.join(inner, link, "inner"), b)
         one = wide.groupBy(rid).agg(F.count(F.lit(1)).alias("_n"), F.max(value).alias("_v"))
         single = F.when(F.col("_n") > 1, F.raise_error(F.lit(TOO_MANY)).cast(b.output[0][0].kind.spark)).otherwise(F.col("_v"))
         return frame.join(one, rid).where(_OPS[s.op](ref, single)).select(*kept)

@@ -549,3 +549,42 @@ def test_positions_are_bytes():
     with pytest.raises(E.Unsupported) as e:
         parse("SELECT id FROM t WHERE v = 'é' OR id = 1")
     assert e.value.byte == 32
+
+
+def joins_of(s, q):
+    return [x for x in s.execute("ANALYZE " + q).message.splitlines() if "BroadcastNestedLoopJoin" in x or "CartesianProduct" in x]
+
+
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">=", "!="])
+def test_linked_by_an_order(spark, op):
+    """Subqueries linked by an order, with NULLs on both sides, against DuckDB; NOT IN joins by its value, not by pairs."""
+    import duckdb
+
+    s, db = Engine(spark).session(), duckdb.connect()
+    left = [(1, 1, 1), (2, 1, None), (3, 2, 5), (4, None, 3), (5, 3, 9), (6, 3, None), (7, 2, 2)]
+    right = [(1, 1, 1), (2, 1, 4), (3, 2, None), (4, None, 2), (5, 3, 9), (6, 2, 5), (7, 4, 3)]
+    for name, data in (("l", left), ("r", right)):
+        db.execute(f"CREATE TABLE {name} (id bigint, g bigint, v bigint)")
+        s.execute(f"CREATE TABLE {name} (id int64, g int64 NULL, v int64 NULL) BTREE EXPLICIT")
+        db.executemany(f"INSERT INTO {name} VALUES (?, ?, ?)", data)
+        s.execute(f"INSERT INTO {name} VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else str(x) for x in r) + ")" for r in data))
+    deep = f"(SELECT b.id FROM r AS b WHERE b.g = a.g AND b.id NOT IN (SELECT d.v FROM l AS d WHERE d.id {op} a.id))"
+    for q in (
+        f"EXISTS (SELECT b.id FROM r AS b WHERE b.v {op} a.v)",
+        f"NOT EXISTS (SELECT b.id FROM r AS b WHERE b.v {op} a.v)",
+        f"NOT EXISTS (SELECT b.id FROM r AS b WHERE b.g = a.g AND a.id {op} b.v)",
+        f"EXISTS (SELECT b.id FROM r AS b WHERE b.v {op} a.v AND b.id > a.g)",
+        f"a.v IN (SELECT b.v FROM r AS b WHERE b.id {op} a.id)",
+        f"a.v NOT IN (SELECT b.v FROM r AS b WHERE b.id {op} a.id)",
+        f"a.v NOT IN (SELECT b.v FROM r AS b WHERE b.g = a.g AND b.id {op} a.id)",
+        f"a.id NOT IN (SELECT b.id FROM r AS b WHERE b.v {op} a.v)",
+        f"EXISTS {deep}",
+        f"NOT EXISTS {deep}",
+        f"a.v NOT IN {deep}",
+        f"a.id IN {deep}",
+        f"a.v NOT IN (SELECT b.v FROM r AS b WHERE b.g = 77 AND b.id {op} a.id)",
+    ):
+        q = f"SELECT a.id FROM l AS a WHERE {q}"
+        want = sorted(db.execute(q).fetchall())
+        assert rows(s, q) == want, q
+    assert len(joins_of(s, f"SELECT a.id FROM l AS a WHERE a.id NOT IN (SELECT b.id FROM r AS b WHERE b.id {op} a.g)")) == 0
