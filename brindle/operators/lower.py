@@ -32,7 +32,11 @@ def condition(t) -> Column:
         return F.lit(False)
     if t.other is not None:
         return _OPS[t.op](c, F.col(t.other.at))
-    return _OPS[t.op](c, F.lit(t.value).cast(t.ref.kind.spark) if not t.ref.kind.is_int else F.lit(t.value))
+    return compare(t.op, c, t.value, t.ref.kind)
+
+
+def compare(op: str, c: Column, value, kind) -> Column:
+    return _OPS[op](c, F.lit(value) if kind.is_int else F.lit(value).cast(kind.spark))
 
 
 def whole(n: int) -> Column:
@@ -50,14 +54,15 @@ class Lowering:
     def __init__(self, read, scratch, max_groups: int | None = None):
         self.read, self.scratch, self.max_groups = read, scratch, max_groups
 
-    def narrowed(self, table: str, bounds: list[tuple[str, str, object]]) -> DataFrame:
-        """The relation's rows, or fewer if the bounds (column, operator, value) tell early which fail."""
+    def narrowed(self, table: str, bounds: list[tuple[str, str, object]], named: set[str]) -> DataFrame:
+        """The relation's rows, or fewer if the bounds (column, operator, value) tell early which fail; of columns at least the key and those ``named``."""
         return self.read(table)
 
     # ---- frames
     def scan(self, block: Block, slot: int) -> DataFrame:
         bounds = [(t.ref.name, t.op, t.value) for t in block.tests if isinstance(t, Test) and t.other is None and not t.never and (t.ref.level, t.ref.slot) == (block.level, slot)]
-        df = self.narrowed(block.slots[slot].table, bounds) if bounds else self.read(block.slots[slot].table)
+        named = {r.name for r in block.refs if (r.level, r.slot) == (block.level, slot)}
+        df = self.narrowed(block.slots[slot].table, bounds, named) if bounds else self.read(block.slots[slot].table)
         return df.select(*(F.col(f"`{c}`").alias(f"c{block.level}_{slot}_{c}") for c in df.columns))
 
     def own(self, block: Block) -> DataFrame:

@@ -102,6 +102,15 @@ class Block:
     def folded(self) -> bool:
         return bool(self.folds)
 
+    @property
+    def refs(self) -> list[Ref]:
+        """All columns that this block names, and its subqueries."""
+        out = [r for pair in self.joins for r in pair] + [r for t in (*self.tests, *self.links) for r in t.refs]
+        out += [r for r, _ in (*self.output, *self.order)] + [f.ref for f in self.folds if f.ref] + self.group
+        for s in self.subs:
+            out += s.block.refs + [s.ref] * (s.ref is not None)
+        return out
+
     @property
     def outermost(self) -> int:
         """The outermost level that this block's predicates name, its own if none."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import Column as Column_
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +38,16 @@ class Assertion:
     bound: int
 
 
+class Part(NamedTuple):
+    """Rows of a version: a Parquet path, and the paths of keys that were removed from it since."""
+
+    path: str
+    gone: tuple[str, ...] = ()
+
+
 @dataclass
 class Relation:
-    """``versions``: the Parquet files of each committed version, newest last; ``view``: an outside DataFrame, which can't be written."""
+    """``versions``: the parts of each committed version, newest last; ``view``: an outside DataFrame, which can't be written."""
 
     oid: int
     name: str
@@ -51,8 +59,9 @@ class Relation:
     next_id: int = 1
     indexes: dict[str, list[str]] = field(default_factory=dict)
     covering: dict[str, list[str]] = field(default_factory=dict)
+    sorted_paths: dict[tuple[str, str], str] = field(default_factory=dict)  # an index and a part's path: its columns, sorted
     cabins: dict[str, int] = field(default_factory=dict)
-    versions: list[tuple[str, ...]] = field(default_factory=lambda: [()])
+    versions: list[tuple[Part, ...]] = field(default_factory=lambda: [()])
     dead: list[tuple[str, ...]] = field(default_factory=lambda: [()])  # keys of deleted rows, by version
     written: list[set[int] | None] = field(default_factory=lambda: [set()])  # keys each version changed
     source: DataFrame | None = None  # of a view: its rows before doubles become decimals
@@ -70,13 +79,19 @@ class Relation:
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(c.name, c.kind.spark, True) for c in self.columns])
 
-    def read(self, spark: SparkSession, files: tuple[str, ...]) -> DataFrame:
+    def indexed(self, index: str) -> list[Column]:
+        """The columns that an index holds, the key first."""
+        held = {self.key, *self.indexes[index], *self.covering[index]}
+        return [c for c in self.columns if c.name in held]
+
+    def read(self, spark: SparkSession, files: tuple[str, ...], columns: list[Column] | None = None) -> DataFrame:
         if self.view is not None:
             return self.view
+        columns = columns or self.columns
         if not files:
-            return spark.createDataFrame([], self.schema)
-        kept = T.StructType([T.StructField(c.stored, c.kind.spark, True) for c in self.columns])
-        return spark.read.schema(kept).parquet(*files).toDF(*(c.name for c in self.columns))
+            return spark.createDataFrame([], T.StructType([T.StructField(c.name, c.kind.spark, True) for c in columns]))
+        kept = T.StructType([T.StructField(c.stored, c.kind.spark, True) for c in columns])
+        return spark.read.schema(kept).parquet(*files).toDF(*(c.name for c in columns))
 
     def narrowed(self, bounds: list[tuple[str, str, object]]) -> DataFrame:
         """The rows of a view, most of those left out that fail a bound (column, operator, value) on a column that the files hold as doubles.
