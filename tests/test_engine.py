@@ -642,3 +642,54 @@ def test_index_is_read(spark):
     s.execute("DROP INDEX by_a")
     s.execute("CREATE INDEX by_a ON g(b)")
     assert len(rows(s, "SELECT id FROM g WHERE b = 'b0'")) == sum(n % 3 == 0 for n in range(1, 50)) - 1 + 2
+
+
+def joined(spark, folder, left, right, *more):
+    """A session over files of (id, k) and the join of the first two on k, no key of either."""
+    out = Engine(spark).session()
+    for name, df in zip("abc", (left, right, *more)):
+        df.coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    out.catalog.parquet(str(folder), "a", "b", "c", unique={"c": False})
+    return out, "SELECT x.id, y.id FROM a AS x JOIN b AS y ON x.k = y.k"
+
+
+def largest_share(df):
+    made = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(made) / sum(made)
+
+
+def keyed(spark, n, k):
+    return spark.range(n).select("id", F.expr(k).alias("k"))
+
+
+def test_joins_that_multiply_rows_use_all_tasks(spark, tmp_path):
+    s, q = joined(spark, tmp_path, keyed(spark, 4000, "int(id % 5)"), keyed(spark, 9000, "int(id % 5)"))
+    df = s.sql(q)
+    assert df.count() == 5 * 800 * 1800
+    assert largest_share(df) < 0.5  # of 16 tasks; by bytes it was one
+    both_ways = s.sql("SELECT x.id, y.id FROM b AS x JOIN a AS y ON x.k = y.k")
+    assert both_ways.count() == 5 * 800 * 1800 and largest_share(both_ways) < 0.5
+    one_value = s.sql("SELECT x.id, y.id FROM a AS x JOIN a AS z ON x.id = z.id JOIN b AS y ON z.k = y.k WHERE x.id < 500")
+    assert one_value.count() == 500 * 1800 and largest_share(one_value) < 0.3
+
+
+def test_joins_that_multiply_rows_lose_none(spark, tmp_path, monkeypatch):
+    from brindle.operators import lower
+
+    # a value of most rows on both sides, values of one side alone, NULL, and 64 against 32 bits
+    k = "IF(id % 3 > 0, 7, IF(id % 5 = 0, NULL, id % 40))"
+    left, right = keyed(spark, 700, f"int({k})"), keyed(spark, 500, f"bigint({k} + IF(id % 3 = 0, 9, 0))")
+    twice = left.where("id < 60").unionAll(left.where("id < 60"))
+    s, q = joined(spark, tmp_path, left, right, twice)
+    queries = [q, "SELECT x.k, y.id FROM c AS x JOIN b AS y ON x.k = y.k", "SELECT x.id, y.id FROM a AS x JOIN a AS y ON x.k = y.k WHERE x.id < y.id", "SELECT x.id, z.id FROM a AS x JOIN c AS y ON x.k = y.k JOIN b AS z ON y.k = z.k WHERE x.id < 40", "SELECT x.id, y.id FROM a AS x JOIN b AS y ON x.k = y.k WHERE y.id > 90 ORDER BY x.id LIMIT 50"]
+    monkeypatch.setattr(lower, "PAIRS", 1 << 60)
+    want = [rows(s, x) for x in queries]
+    ks, kd = [{r.id: r.k for r in f.collect()} for f in (left, right)]
+    assert want[0] == sorted((a, b) for a in ks for b in kd if ks[a] is not None and ks[a] == kd[b])
+    monkeypatch.setattr(lower, "PAIRS", 0)
+    monkeypatch.setattr(lower, "CELL", 16)
+    assert [rows(s, x) for x in queries] == want
+    assert "_way_l" in s.sql(q)._jdf.queryExecution().toString()
+    assert largest_share(s.sql(q)) < 0.25
+    monkeypatch.setattr(lower, "BROADCAST_BYTES", 0)
+    assert rows(s, queries[3]) == want[3]
